@@ -31,7 +31,9 @@ def nan_to_null(col: Column) -> Column:
 
 def tolerant_number(col: Column, drop: str = " ") -> Column:
     """Remove ``drop`` (a regular expression) and parse; anything else is NULL."""
-    return nan_to_null(F.regexp_replace(col.cast("string"), drop, "").try_cast("double"))
+    text = F.regexp_replace(col.cast("string"), drop, "")
+    # A Java type suffix ("12d") is not a number here.
+    return nan_to_null(F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double")))
 
 
 def count_or_zero(col: Column) -> Column:
