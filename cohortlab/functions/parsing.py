@@ -29,9 +29,11 @@ def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
-def tolerant_number(col: Column, drop: str = " ") -> Column:
+def tolerant_number(col: Column, drop: str | None = " ") -> Column:
     """Remove ``drop`` (a regular expression) and parse; anything else is NULL."""
-    text = F.regexp_replace(col.cast("string"), drop, "")
+    text = col.cast("string")
+    if drop:
+        text = F.regexp_replace(text, drop, "")
     # A Java type suffix ("12d") is not a number here.
     return nan_to_null(F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double")))
 
@@ -42,4 +44,4 @@ def count_or_zero(col: Column) -> Column:
 
 
 def tolerant_year(col: Column) -> Column:
-    return col.cast("string").try_cast("double").cast("int")
+    return tolerant_number(col, None).try_cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlab.functions.labels import map_rules
 from cohortlab.functions.names import digit_columns, find_column, rename_all, welfare_name
-from cohortlab.functions.parsing import clean_missing, tolerant_number
+from cohortlab.functions.parsing import clean_missing, tolerant_number, tolerant_year
 from cohortlab.operators.aggregate import group_mean
 from cohortlab.operators.merge import TOTAL_COHORT
 from cohortlab.operators.reshape import melt_years
@@ -41,7 +41,7 @@ def harmonise_welfare(raw: DataFrame) -> DataFrame:
     if digit_columns(rows.columns):
         rows = melt_years(rows, "welfare_amount_total")
     elif "year" in rows.columns:
-        rows = rows.withColumn("year", F.col("year").cast("string").try_cast("double").cast("int"))
+        rows = rows.withColumn("year", tolerant_year(F.col("year")))
     else:
         raise ValueError("neither a year column nor a column per year")
     source = find_column(rows.columns, WELFARE_REGION_FRAGMENTS)
