@@ -24,7 +24,8 @@ def value_ranges(df: DataFrame, value: str, out: str = "_range") -> DataFrame:
     if len(splits) == 2:
         splits.insert(1, 0.0)
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
-    return ranged.withColumn(out, F.col(out).cast("int"))
+    # Never NULL, so a later join on it adds no filter and both of its sides can share one shuffle.
+    return ranged.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
 
 
 def exact_quantiles(
@@ -58,11 +59,16 @@ def exact_quantiles(
     ranks = ranks.withColumn("_low", F.col("_rank") == F.floor(position)).filter(
         (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
     )
-    ranks = broadcast_if_small(ranks.select(*keys, "_range", "probability", "_part", "_rank", "_low", "_before"))
-
+    every = ranks.select(*keys, "_range", "probability", "_part", "_rank", "_low", "_before")
+    ranks = broadcast_if_small(every)
     held = ranks.select(*keys, "_range").distinct()
-    values = ranged.join(held, [*keys, "_range"], "left_semi").groupBy(*keys, "_range", "value")
-    values = values.agg(F.count("*").alias("_copies"))
+    cell = [*keys, "_range", "value"]
+    copies = F.count("*").alias("_copies")
+    if ranks is every:
+        # Too many groups to broadcast: count equal values first, so that no hot value meets the join.
+        values = ranged.groupBy(*cell).agg(copies).join(held, [*keys, "_range"], "left_semi")
+    else:
+        values = ranged.join(F.broadcast(held), [*keys, "_range"], "left_semi").groupBy(*cell).agg(copies)
     inside = Window.partitionBy(*keys, "_range").orderBy("value")
     values = values.withColumn(
         "_end", F.sum("_copies").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
