@@ -1,6 +1,6 @@
 """Exact order statistics without gathering a group in one place.
 
-Value ranges are cut by an approximate percentile sketch, rows are counted per (group, range) with
+Value ranges are cut at the quantiles of a mergeable sketch, rows are counted per (group, range) with
 map-side combine, and only the few ranges that hold a wanted rank are sorted. The cuts decide the
 balance of the work, never the result. They are global, so a group with a third of all rows is
 spread over a third of the ranges.

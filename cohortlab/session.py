@@ -65,4 +65,4 @@ def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) ->
 
 def bucket_count(spark: SparkSession) -> int:
     """Number of value ranges for ordered operators: follows the shuffle width, within a fixed bound."""
-    return max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(64, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))

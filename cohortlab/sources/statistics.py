@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.labels import label_map, map_keep
@@ -15,26 +15,33 @@ from cohortlab.operators.aggregate import group_mean
 from cohortlab.operators.measure import preferred_group_mean
 from cohortlab.sources.settings import BIRTH_REGIONS, INDICATORS, REGION, STATISTICS_FILTERS, STATISTICS_TOTALS
 
+KEYS = ["year", REGION]
+
 
 def scan_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Delimited text with a header line; every column is read as text, without an inference pass."""
     return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
 
 
+def harmonised_rows(raw: DataFrame, indicator: str, mapping: Mapping[str, str] = BIRTH_REGIONS) -> tuple[DataFrame, str, Column]:
+    """(rows with typed year and value and the mapped region, value name, which rows enter the mean)."""
+    name = INDICATORS.get(indicator, ("value", None, None))[0]
+    rows = rename_last(keep_matching(rename_all(raw, statistics_name), STATISTICS_FILTERS), name)
+    rows = rows.withColumns({name: tolerant_number(F.col(name)), "year": tolerant_year(F.col("year"))})
+    rows = map_keep(rows, "region_of_birth", label_map(raw.sparkSession, mapping), REGION)
+    return rows, name, ~is_total(F.col("region_of_birth"), STATISTICS_TOTALS)
+
+
 def harmonise_statistics(raw: DataFrame, indicator: str, mapping: Mapping[str, str] = BIRTH_REGIONS) -> DataFrame:
     """(year, region, value): filters, measure choice, label mapping, mean per group.
 
     The measure fallback is decided once for the whole source.
     """
-    name, preferred, fallback = INDICATORS.get(indicator, ("value", None, None))
-    rows = rename_last(keep_matching(rename_all(raw, statistics_name), STATISTICS_FILTERS), name)
-    rows = rows.withColumns({name: tolerant_number(F.col(name)), "year": tolerant_year(F.col("year"))})
-    rows = map_keep(rows, "region_of_birth", label_map(raw.sparkSession, mapping), REGION)
-    ordinary = ~is_total(F.col("region_of_birth"), STATISTICS_TOTALS)
-    keys = ["year", REGION]
+    rows, name, ordinary = harmonised_rows(raw, indicator, mapping)
+    _, preferred, fallback = INDICATORS.get(indicator, ("value", None, None))
     if preferred and "observations" in rows.columns:
-        return preferred_group_mean(rows, keys, name, "observations", preferred, fallback, ordinary)
-    return group_mean(rows.filter(ordinary & F.col(name).isNotNull()), keys, [name])
+        return preferred_group_mean(rows, KEYS, name, "observations", preferred, fallback, ordinary)
+    return group_mean(rows.filter(ordinary & F.col(name).isNotNull()), KEYS, [name])
 
 
 def load_statistics(

@@ -9,23 +9,7 @@ from cohortlab.sources.cells import (
 from cohortlab.sources.io import optional_source, save_table, scan_transactions
 from cohortlab.sources.statistics import load_statistics, scan_delimited
 from cohortlab.sources.welfare import load_welfare, scan_titled
-
-HEAD = '"Region","Sex","Age","Number of years in Sweden","Region of birth","Observations","Year","Value"'
-
-
-def statistics_file(folder, lines, name="stat.csv", encoding="ISO-8859-1"):
-    path = folder / name
-    path.write_bytes("\n".join([HEAD, *lines]).encode(encoding))
-    return str(path)
-
-
-def line(label, year, value, observation="Employment rate, %", region="00 Sweden", sex="Total", age="20-64 years", stay="Total"):
-    return ",".join(f'"{v}"' for v in (region, sex, age, stay, label, observation, year, value))
-
-
-def table(df):
-    return {tuple(r)[:-1]: tuple(r)[-1] for r in df.collect()}
-
+from tests_support import line, statistics_file, table
 
 def test_statistics(spark, tmp_path):
     path = statistics_file(tmp_path, [
