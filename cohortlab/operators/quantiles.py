@@ -20,10 +20,12 @@ def value_ranges(df: DataFrame, value: str, out: str = "_range") -> DataFrame:
     n = bucket_count(df.sparkSession)
     probabilities = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(value, probabilities, max(10_000, 10 * n))).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts if abs(c) != float("inf")}), float("inf")]
+    splits = [float("-inf"), *sorted({float(c) + 0.0 for c in cuts if abs(c) != float("inf")}), float("inf")]
     if len(splits) == 2:
         splits.insert(1, 0.0)
-    ranged = Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
+    # -0.0 and 0.0 are one value to a group, so they must be one value to the ranges too.
+    one_zero = df.withColumn(value, F.when(F.col(value) == 0, F.lit(0.0)).otherwise(F.col(value)))
+    ranged = Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(one_zero)
     # Never NULL, so a later join on it adds no filter and both of its sides can share one shuffle.
     return ranged.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
 
