@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import lengths, packing, training_order
+from cohortlab.llm import decontaminate, lengths, packing, training_order, url_intervals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,40 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_training_order, op5_length_histogram, op8_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return url_intervals.judge(_table(spark, sf, "pages"), url_intervals.rule_table(spark, URL_RULES))
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '')"
+OP9_SQL = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p, w FROM iw WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS t FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY 1),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM dw, (SELECT DISTINCT k FROM s) WHERE len(w) >= k),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS t FROM d),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN s USING (k, t) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8)"""
+OP10_SQL = """
+WITH r(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h),
+f AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
+  row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
+
+_ALL = [op2_training_order, op5_length_histogram, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_rules]
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL}
