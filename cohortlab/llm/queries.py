@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import decontaminate, lengths, packing, training_order, url_intervals
+from cohortlab.llm import decontaminate, hilbert, lengths, packing, pairwise_quality, quality_rules, training_order, url_intervals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,26 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.risk_controlled(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op2_training_order(spark: SparkSession, sf: str) -> DataFrame:
     return training_order.training_order(training_order.store_sequences(_table(spark, sf, "documents")))
 
 
+def op3_pairwise_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return pairwise_quality.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op5_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.length_table(lengths.encoded_lengths(_table(spark, sf, "documents")))
 
 
+def op7_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return hilbert.hilbert_shards(_table(spark, sf, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"))
 
@@ -61,6 +73,9 @@ f AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
   FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
 
-_ALL = [op2_training_order, op5_length_histogram, op8_best_fit_packing, op9_benchmark_decontamination, op10_url_rules]
+_ALL = [
+    op1_quality_rules, op2_training_order, op3_pairwise_quality, op5_length_histogram, op7_hilbert_shards, op8_best_fit_packing,
+    op9_benchmark_decontamination, op10_url_rules,
+]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL}
