@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import decontaminate, hilbert, lengths, packing, pairwise_quality, quality_rules, training_order, url_intervals
+from cohortlab.llm import decontaminate, group_matrix, hilbert, lengths, packing, pairwise_quality, quality_rules, training_order, url_intervals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.length_table(lengths.encoded_lengths(_table(spark, sf, "documents")))
 
 
+def op6_group_matrix_join(spark: SparkSession, sf: str) -> DataFrame:
+    return group_matrix.join_groups(_table(spark, sf, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, sf, "documents"))
 
@@ -74,7 +78,7 @@ f AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
 
 _ALL = [
-    op1_quality_rules, op2_training_order, op3_pairwise_quality, op5_length_histogram, op7_hilbert_shards, op8_best_fit_packing,
+    op1_quality_rules, op2_training_order, op3_pairwise_quality, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
     op9_benchmark_decontamination, op10_url_rules,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
