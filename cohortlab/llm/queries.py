@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import decontaminate, group_matrix, hilbert, lengths, packing, pairwise_quality, quality_rules, training_order, url_intervals
+from cohortlab.llm import (
+    decontaminate, group_matrix, hilbert, lengths, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,10 @@ def op3_pairwise_quality(spark: SparkSession, sf: str) -> DataFrame:
     return pairwise_quality.score_documents(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op4_collinear_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf, "documents")).drop("key")
+
+
 def op5_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.length_table(lengths.encoded_lengths(_table(spark, sf, "documents")))
 
@@ -78,7 +84,7 @@ f AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
 
 _ALL = [
-    op1_quality_rules, op2_training_order, op3_pairwise_quality, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
+    op1_quality_rules, op2_training_order, op3_pairwise_quality, op4_collinear_passages, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
     op9_benchmark_decontamination, op10_url_rules,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
