@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import tokens
 from cohortlab.llm.frames import map_rows
+from cohortlab.session import durable
 
 RANGE = 1024
 
@@ -36,7 +37,7 @@ def length_table(lengths: DataFrame, width: int = RANGE) -> DataFrame:
     to the next length keeps ``tokens_up_to + L * docs_longer`` tokens; see :func:`limit_totals`.
     """
     counts = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
-    counts = counts.withColumn("range", F.floor(F.col("length") / width)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    counts = durable(counts.withColumn("range", F.floor(F.col("length") / width)).withColumn("n_tokens", F.col("length") * F.col("n_docs")))
     ranges = counts.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"), F.min("length").alias("low"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
