@@ -246,3 +246,33 @@ def join_groups(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS)
     names = keyed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = keyed.join(names, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return named.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS) -> DataFrame:
+    """One row of each component, with all its columns: one of those with the least id, null ids last.
+
+    Rows without words all stay. Rows whose id is null or repeated are judged by their own text.
+    """
+    stored, comps = linked(docs, share, cell_bits)
+    rows = stored.where("n > 0").join(comps, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("comp", "key").alias("comp"))
+    firsts = durable(rows.groupBy("comp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first")))
+    later = rows.join(firsts.where("rows > 1"), "comp").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("gone"))
+    vague = durable(stored.where("part is null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("gone")))
+    gone = durable(later.unionByName(vague).distinct())
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
+    if vague.isEmpty():
+        return kept
+    own = docs.join(vague, docs["doc_id"].cast("long").eqNullSafe(vague["gone"]), "left_semi")
+    packed = own.select(F.struct(*[own[c] for c in docs.columns]).alias("row"), own["doc_id"].cast("long").alias("id"), own["text"].alias("text"))
+
+    def name_sets(batches):
+        for batch in batches:
+            keys, known = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for row, tokens in _sets(batch):
+                keys[row], known[row] = set_key(tokens), True
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(keys, mask=~known)], names=["row", "id", "key"])
+
+    named = packed.mapInArrow(name_sets, f"row {packed.schema['row'].dataType.simpleString()}, id long, key long")
+    named = named.join(comps, F.col("key") == F.col("node"), "left").select("row", "id", F.coalesce("comp", "key").alias("comp"))
+    chosen = named.join(firsts.select("comp", "first"), "comp").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["comp"]).select("row.*")
+    return kept.unionByName(chosen).unionByName(named.where("comp is null").select("row.*"))

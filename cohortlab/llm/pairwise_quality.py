@@ -127,3 +127,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), judge, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the cut, with all their columns."""
+    return docs.where(score_column(learn(docs, labels)) >= CUT)
