@@ -70,7 +70,10 @@ def curve_column(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
 
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
-        cells = [np.searchsorted(c, np.nan_to_num(s.to_numpy(dtype=float, na_value=np.nan), nan=-np.inf, posinf=np.inf, neginf=-np.inf), "left") for c, s in zip(cuts, columns, strict=True)]
+        cells = []
+        for c, s in zip(cuts, columns, strict=True):
+            values = np.nan_to_num(s.to_numpy(dtype=float, na_value=np.nan), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            cells.append((np.searchsorted(c, values, "left") << bits) // (len(c) + 1))  # few values are spread over the whole side
         return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
     return index(*numbers)
