@@ -6,7 +6,7 @@ intersection / union is at least ``SHARE / 100``.
 * Tokens have one order for all sets: those whose cell of a fixed-size count sketch is crowded come last, the rest by hash.
   The first n - ceil(0.8 n) + 1 tokens of a set, its prefix, must meet the prefix of every partner; a partner of size b shares at
   least ``needed(n, b)`` of them. The sketch decides speed alone.
-* Groups of similar documents: every shared token names a hub, its smallest class, and members verified against
+* Groups of similar documents: every shared token names a hub, its most shared class, and members verified against
   their hub form a group with it, joined up to components and split by size bands.
 * Matrix: one row per (token, group) over the tokens of the group's members, however many they are. The count of a query's
   tokens in a group's row bounds what it can share with any member, so only groups that reach the least ``needed`` of their
@@ -36,7 +36,7 @@ SIZE = 5
 SHARE = 80
 CELL_BITS = 22
 _CELL_PARTS = 64
-_BAND = 1.26
+_BAND = 1.05
 
 
 def _sets(batch: pa.RecordBatch):
@@ -129,20 +129,18 @@ def prefixes(docs: DataFrame, levels: np.ndarray, share: int = SHARE) -> DataFra
 
 
 def shared_tokens(postings: DataFrame) -> DataFrame:
-    """``token, class, n, hub, hub_n`` of the prefix tokens that two classes share; the hub is the token's smallest class.
+    """Stored ``token, class, n, held`` of the prefix tokens that two classes share; ``held`` counts the class's own such tokens.
 
     Usual tokens have few classes and meet in a window. Crowded ones are first counted by partial aggregates; the join
     back can be split where it is skewed.
     """
     whole = Window.partitionBy("token")
-    me = F.struct("class", "n")
-    cold = postings.where(~F.col("hot")).withColumn("low", F.min(me).over(whole)).withColumn("high", F.max("class").over(whole))
-    cold = cold.where(F.col("low.class") != F.col("high")).select("token", "class", "n", "low")
-    crowded = postings.where("hot")
-    hubs = crowded.groupBy("token").agg(F.min(me).alias("low"), F.max("class").alias("high")).where(F.col("low.class") != F.col("high"))
-    hot = crowded.join(hubs.select("token", "low"), "token").select("token", "class", "n", "low")
-    rows = cold.unionByName(hot).select("token", "class", "n", F.col("low.class").alias("hub"), F.col("low.n").alias("hub_n"))
-    return durable(rows.distinct())
+    cold = postings.where(~F.col("hot")).withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole))
+    cold = cold.where("low != high").select("token", "class", "n")
+    crowded = durable(postings.where("hot").select("token", "class", "n"))
+    shared = crowded.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
+    rows = durable(cold.unionByName(crowded.join(shared, "token")).distinct())
+    return durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))
 
 
 def _ceil(a: Column, over: int) -> Column:
@@ -197,35 +195,58 @@ def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SH
 
 
 def hub_pairs(shared: DataFrame, share: int = SHARE) -> DataFrame:
-    """Classes and their hubs, ``a, b``, that have enough prefix tokens in common."""
-    pairs = shared.where((F.col("class") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n"), share)).select("class", "hub").distinct()
-    mine = shared.select("class", "token", "n")
-    theirs = shared.select(F.col("class").alias("hub"), "token", F.col("n").alias("hub_n"))
-    met = pairs.join(mine, "class").join(theirs, ["hub", "token"]).groupBy("class", "hub", "n", "hub_n").agg(F.count("*").alias("met"))
-    return met.where(F.col("met") >= needed(F.col("n"), F.col("hub_n"), share)).select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    """Classes and their hubs, ``a, b``, that have enough prefix tokens in common.
+
+    A token's hub is the class whose prefix is shared to the greatest part: among edited copies the one nearest their origin.
+    """
+    prefix = F.col("n") - _ceil(share * F.col("n"), 100) + 1
+    me = F.struct(F.floor(1000 * F.col("held") / prefix).alias("part"), F.bitwise_not("class").alias("turned"), "n", "held")
+    hubs = shared.groupBy("token").agg(F.max(me).alias("hub"))
+    pairs = shared.join(hubs, "token").select(
+        "class", "n", "held", F.bitwise_not("hub.turned").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.held").alias("hub_held"))
+    least = needed(F.col("n"), F.col("hub_n"), share)
+    pairs = pairs.where((F.col("class") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n"), share) & (F.least("held", "hub_held") >= least)).distinct()
+    mine = shared.select("class", "token")
+    theirs = shared.select(F.col("class").alias("hub"), "token")
+    met = pairs.select("class", "hub", least.alias("least")).join(mine, "class").join(theirs, ["hub", "token"]).groupBy("class", "hub", "least").agg(F.count("*").alias("met"))
+    return met.where("met >= least").select(F.col("class").alias("a"), F.col("hub").alias("b"))
 
 
 def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
-    """Queries and the members of the groups that they open, ``a, b``, among classes of different components."""
-    band = F.floor(F.log("n") / F.log(F.lit(_BAND))).cast("int")
-    rows = shared.select("token", "class", "n").join(groups.withColumnRenamed("node", "class"), "class", "left")
-    rows = rows.select("token", "class", "n", F.coalesce("comp", "class").alias("comp"), band.alias("band"))
+    """Queries and the members of the groups that they open, ``a, b``, among classes of different components.
+
+    A query is sent only to the size bands that it holds enough shared tokens for.
+    """
+    base = F.log(F.lit(_BAND))
+    band = F.floor(F.log("n") / base).cast("int")
+    rows = shared.join(groups.withColumnRenamed("node", "class"), "class", "left")
+    rows = rows.select("token", "class", "n", "held", F.coalesce("comp", "class").alias("comp"), band.alias("band"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
     rows = durable(rows.join(spread, "token"))
     matrix = rows.groupBy("token", "comp", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sizes = rows.groupBy("comp", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = rows.select("token", "class", "n", F.col("comp").alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    hits = queries.join(matrix, ["token", "band"]).where(F.col("own") != F.col("comp")).where((100 * F.col("high") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("low")))
+
+    def band_needs(low: Column, high: Column) -> Column:
+        """The least of ``needed`` over partners of sizes low to high, which is at an end; one less for rounding."""
+        low = F.greatest(low, F.floor(share * F.col("n") / 100))
+        high = F.least(high, F.ceil(100 * F.col("n") / share))
+        return F.when(low <= high, F.greatest(F.lit(1), F.least(needed(F.col("n"), low, share), needed(F.col("n"), high, share)) - 1))
+
+    reach = int(np.ceil(np.log(100 / share) / np.log(_BAND)))
+    bands = F.transform(F.sequence(F.col("band") - reach, F.col("band") + reach), lambda b: F.struct(
+        b.alias("band"), band_needs(F.floor(F.pow(F.lit(_BAND), b)), F.ceil(F.pow(F.lit(_BAND), b + 1))).alias("least")))
+    queries = rows.withColumn("to", F.explode(F.filter(bands, lambda b: F.col("held") >= b["least"])))
+    queries = queries.select("token", "class", "n", F.col("comp").alias("own"), F.col("to.band").alias("band"))
+    fits = (100 * F.col("high") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("low"))
+    hits = queries.join(matrix, ["token", "band"]).where((F.col("own") != F.col("comp")) & fits)
     hits = hits.groupBy("class", "n", "comp", "band").agg(F.count("*").alias("met")).join(sizes, ["comp", "band"])
-    low = _ceil(share * (F.col("n") + F.col("least")), 100 + share) - _ceil(share * F.col("n"), 100)
-    high = _ceil(share * (F.col("n") + F.col("most")), 100 + share) - _ceil(share * F.col("most"), 100)
-    opened = hits.where(F.col("met") >= F.least(low, high)).select("class", "comp", "band")
-    asked = durable(opened.join(rows.select("class", "token", "n"), "class"))
-    members = rows.select("token", "comp", "band", F.col("class").alias("other"), F.col("n").alias("other_n"))
-    met = asked.join(members, ["token", "comp", "band"]).where(_size_fits(F.col("n"), F.col("other_n"), share))
-    met = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"), "class", "n", "other_n")
-    met = met.groupBy("a", "b", "class", "n", "other_n").agg(F.count("*").alias("met"))
-    return met.where(F.col("met") >= needed(F.col("n"), F.col("other_n"), share)).select("a", "b")
+    opened = hits.where(F.col("met") >= band_needs(F.col("least"), F.col("most"))).select("class", "comp", "band")
+    asked = durable(opened.join(rows.select("class", "token", "n", "held"), "class"))
+    members = rows.select("token", "comp", "band", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("held").alias("other_held"))
+    least = needed(F.col("n"), F.col("other_n"), share)
+    met = asked.join(members, ["token", "comp", "band"]).where(_size_fits(F.col("n"), F.col("other_n"), share) & (F.least("held", "other_held") >= least))
+    met = met.select("class", "other", least.alias("least")).groupBy("class", "other", "least").agg(F.count("*").alias("met")).where("met >= least")
+    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
