@@ -41,10 +41,11 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
         seen[rows["cell"].to_numpy() % part] = True
         return pd.DataFrame({"part": [int(rows["cell"].iloc[0]) // part], "bits": [np.packbits(seen).tobytes()]})
 
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for row in cells.groupBy(F.floor(F.col("cell") / part)).applyInPandas(pack, "part int, bits binary").collect():
-        out[row["part"] * part : (row["part"] + 1) * part] = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8)).astype(bool)
-    return np.packbits(out)
+        at = row["part"] * part // 8
+        out[at : at + part // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
 
 
 def may_hold(filter_bits: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -96,7 +96,8 @@ def training_order(stored: DataFrame, key: int = 20_240_607, size: int = SEQUENC
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = durable(parts.select("part", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base")))
     n = parts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    numbered = stored.join(parts.select("part", "base"), "part").withColumn("slot", slots(F.col("base") + F.col("place"), n, key))
+    numbered = stored.join(F.broadcast(parts.select("part", "base")), "part")  # one row per task that wrote
+    numbered = numbered.withColumn("slot", slots(F.col("base") + F.col("place"), n, key))
     dealt = numbered.drop("part", "place", "base").repartitionByRange(max(1, -(-n // per_shard)), "slot").sortWithinPartitions("slot")
     stride = stride_bytes(size, width)
     record = F.rpad(F.concat(_little(F.col("length")), F.col("ids")), stride - 1, F.lit(b"\x00"))
