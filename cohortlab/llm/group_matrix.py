@@ -222,7 +222,8 @@ def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> Da
     rows = shared.join(groups.withColumnRenamed("node", "class"), "class", "left")
     rows = rows.select("token", "class", "n", "held", F.coalesce("comp", "class").alias("comp"), band.alias("band"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    rows = durable(rows.join(spread, "token"))
+    rows = durable(rows.drop("held").join(spread, "token"))
+    rows = durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))  # only tokens that other components hold count here
     matrix = rows.groupBy("token", "comp", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sizes = rows.groupBy("comp", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
