@@ -86,12 +86,12 @@ def _text_hash(text: Column, size: int) -> Column:
 
 def _verify(docs: DataFrame, items: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     ids = candidates.select(F.col("doc_id").alias("candidate")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi").select("doc_id", words_of(F.col("text")).alias("w"))
     pairs = candidates.withColumnsRenamed({"doc_id": "candidate", "item_id": "wanted"})
     wanted = pairs.join(items, F.col("wanted").eqNullSafe(F.col("item_id"))).select(
         "candidate", "item_id", "size", F.transform("shingles", lambda s: s["text"]).alias("texts"))
     both = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("candidate")))
-    mine = shingle_texts(words_of(F.col("text")), F.col("size"))
+    mine = shingle_texts(F.col("w"), F.col("size"))
     shared = both.select("doc_id", "item_id", F.size(F.array_intersect("texts", mine)).cast("long").alias("n_shared"), F.size("texts").cast("long").alias("n_item"))
     best = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold))).groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("best"))
