@@ -215,7 +215,8 @@ def hub_pairs(shared: DataFrame, share: int = SHARE) -> DataFrame:
 def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
     """Queries and the members of the groups that they open, ``a, b``, among classes of different components.
 
-    A query is sent only to the size bands that it holds enough shared tokens for.
+    A query is sent only to the size bands that it holds enough shared tokens for, and to none above its own: of two sets
+    the larger one asks.
     """
     base = F.log(F.lit(_BAND))
     band = F.floor(F.log("n") / base).cast("int")
@@ -223,7 +224,8 @@ def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> Da
     rows = rows.select("token", "class", "n", "held", F.coalesce("comp", "class").alias("comp"), band.alias("band"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
     rows = durable(rows.drop("held").join(spread, "token"))
-    rows = durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))  # only tokens that other components hold count here
+    each = rows.groupBy("class").agg(F.count("*").alias("held"), F.max("n").alias("n"), F.max("band").alias("band"))  # only tokens that other components hold
+    rows = durable(rows.join(each.select("class", "held"), "class"))
     matrix = rows.groupBy("token", "comp", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sizes = rows.groupBy("comp", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
@@ -234,10 +236,10 @@ def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> Da
         return F.when(low <= high, F.greatest(F.lit(1), F.least(needed(F.col("n"), low, share), needed(F.col("n"), high, share)) - 1))
 
     reach = int(np.ceil(np.log(100 / share) / np.log(_BAND)))
-    bands = F.transform(F.sequence(F.col("band") - reach, F.col("band") + reach), lambda b: F.struct(
+    bands = F.transform(F.sequence(F.col("band") - reach, F.col("band")), lambda b: F.struct(
         b.alias("band"), band_needs(F.floor(F.pow(F.lit(_BAND), b)), F.ceil(F.pow(F.lit(_BAND), b + 1))).alias("least")))
-    queries = rows.withColumn("to", F.explode(F.filter(bands, lambda b: F.col("held") >= b["least"])))
-    queries = queries.select("token", "class", "n", F.col("comp").alias("own"), F.col("to.band").alias("band"))
+    sent = each.select("class", F.explode(F.filter(bands, lambda b: F.col("held") >= b["least"])).alias("to")).select("class", F.col("to.band").alias("band"))
+    queries = rows.select("token", "class", "n", F.col("comp").alias("own")).join(sent, "class")
     fits = (100 * F.col("high") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("low"))
     hits = queries.join(matrix, ["token", "band"]).where((F.col("own") != F.col("comp")) & fits)
     hits = hits.groupBy("class", "n", "comp", "band").agg(F.count("*").alias("met")).join(sizes, ["comp", "band"])
