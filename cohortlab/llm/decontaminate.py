@@ -98,7 +98,12 @@ def _verify(docs: DataFrame, items: DataFrame, candidates: DataFrame, threshold:
     return best.select("doc_id", "item_id", "best.n_shared", "best.n_item", "best.containment")
 
 
-def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    bad = find(docs, items, size, threshold).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["found"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, each_row: bool = False) -> DataFrame:
+    """The documents that hold no item, with all their columns.
+
+    With ``each_row`` a row is judged by its own text, named by a digest, also where ids are null or repeated; without, all
+    rows of an id are one document.
+    """
+    name = F.unhex(F.sha2(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8"), 256)) if each_row else docs["doc_id"]
+    bad = find(docs.select(name.alias("doc_id"), "text"), items, size, threshold).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(bad, name.eqNullSafe(bad["found"]), "left_anti")

@@ -48,3 +48,15 @@ def test_empty_tables(spark):
     docs = table(spark, ODD)
     assert decontaminate.find(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == len(ODD)
     assert decontaminate.find(docs.where("false"), spark.createDataFrame([(1, "one")], "item_id long, text string")).count() == 0
+
+
+def test_the_pipeline_keeps_clean_rows_that_share_an_id_with_a_leak(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, prose(600, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{prose(601, 20)} {prose(600, 20)}"
+    rows = [(None, leak), (None, "clean without id"), (None, None), (7, leak), (7, "clean with a repeated id"), (8, "clean"), (8, "clean"), (9, leak)]
+    docs = table(spark, rows)
+    left = corpus_pipeline.leaks(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(text)) for i, text in rows if text != leak)
