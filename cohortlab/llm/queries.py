@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlab.llm import (
-    decontaminate, group_matrix, hilbert, lengths, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
+    decontaminate, group_matrix, hilbert, lengths, line_dedup, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,12 @@ def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return url_intervals.judge(_table(spark, sf, "pages"), url_intervals.rule_table(spark, URL_RULES))
 
 
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    kept = line_dedup.kept_lines(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '')"
 OP9_SQL = f"""
 WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -82,10 +89,18 @@ f AS (SELECT p.*, r.host || r.path AS rule, r.verdict,
   row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
   FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1"""
+OP12_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, k.line, k.pos, c.key IS NOT NULL AND k.doc_id <> c.last_id AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
 
 _ALL = [
     op1_quality_rules, op2_training_order, op3_pairwise_quality, op4_collinear_passages, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
-    op9_benchmark_decontamination, op10_url_rules,
+    op9_benchmark_decontamination, op10_url_rules, op12_line_dedup,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL, "op12_line_dedup": OP12_SQL}
