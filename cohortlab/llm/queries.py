@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import (
-    decontaminate, group_matrix, hilbert, lengths, line_dedup, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
+    alignment, decontaminate, group_matrix, hilbert, lengths, line_dedup, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return url_intervals.judge(_table(spark, sf, "pages"), url_intervals.rule_table(spark, URL_RULES))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     kept = line_dedup.kept_lines(docs, line_dedup.keep_bitmaps(docs))
@@ -100,7 +104,7 @@ FROM m GROUP BY doc_id"""
 
 _ALL = [
     op1_quality_rules, op2_training_order, op3_pairwise_quality, op4_collinear_passages, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
-    op9_benchmark_decontamination, op10_url_rules, op12_line_dedup,
+    op9_benchmark_decontamination, op10_url_rules, op11_tokenizer_alignment, op12_line_dedup,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL, "op12_line_dedup": OP12_SQL}
