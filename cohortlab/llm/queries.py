@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import (
-    alignment, decontaminate, group_matrix, hilbert, lengths, line_dedup, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
+    alignment, conversation_trie, decontaminate, group_matrix, hilbert, lengths, line_dedup, packing, pairwise_quality, passages, quality_rules, training_order, url_intervals,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    convs, turns = conversation_trie.head_swap(_table(spark, sf, "conversations"))
+    return conversation_trie.trie_nodes(convs, turns)
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '')"
 OP9_SQL = f"""
 WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -105,6 +110,7 @@ FROM m GROUP BY doc_id"""
 _ALL = [
     op1_quality_rules, op2_training_order, op3_pairwise_quality, op4_collinear_passages, op5_length_histogram, op6_group_matrix_join, op7_hilbert_shards, op8_best_fit_packing,
     op9_benchmark_decontamination, op10_url_rules, op11_tokenizer_alignment, op12_line_dedup,
+    op13_conversation_trie,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL, "op10_url_rules": OP10_SQL, "op12_line_dedup": OP12_SQL}
