@@ -1,9 +1,13 @@
 """Alignment of two tokenizers' tokens over the same bytes, by interval coalescing, with corpus-wide counts of linked ids.
 
-A batch of texts is encoded by both tokenizers, and every token is an interval of bytes. The tokens of both sides are
+New pieces of a batch are encoded by both tokenizers, and every token is an interval of bytes. The tokens of both sides are
 lexsorted by start, ``maximum.accumulate`` gives the running end, and a group breaks where a start reaches the running
 maximum: there tokens of both sides end. Within groups the overlapping pairs are expanded from sorted places. All
-texts of a batch lie end to end, so that one pass serves them all; a document's end breaks its last group.
+pieces lie end to end, so that one pass serves them all; a piece's end breaks its last group.
+
+A text is cut before each single space that stands between other characters than white space. Neither vocabulary has an entry that
+goes over such a place, so both sides end there: tokens and groups of a text are those of its pieces in a row. A worker
+aligns a distinct piece once while its store, bounded in characters, holds it.
 
 A document's distinct linked id pairs are stored once, as sorted codes with their numbers of links. A code's count is the
 number of documents that hold it: a partial aggregate over the stored codes. The counts, sorted by code, are cut into chunks of
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +41,11 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_BITS = 20
 CHUNK_PAIRS = 4_000_000
 SLICE_PAIRS = 2_000_000
+CACHE_CHARS = 8_000_000
+#: Before one space between two characters that are neither white space nor the space's stand-in U+2581.
+CUT = re.compile(r"(?<=[^\s\u2581])(?= [^\s\u2581])")
 LOCAL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<long>, links array<int>"
-_SIDES: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def default_paths() -> tuple[str, str]:
@@ -88,7 +96,7 @@ class ByteLevel:
         return ByteLevel, (self.path,)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -112,12 +120,6 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def sides(paths: tuple[str, str]) -> tuple[ByteLevel, Pieces]:
-    if paths not in _SIDES:
-        _SIDES[paths] = (ByteLevel(paths[0]), Pieces(paths[1]))
-    return _SIDES[paths]
-
-
 @dataclass
 class Side:
     """One side's tokens of a batch, end to end: ids, byte spans, and the place of each document's first token."""
@@ -170,60 +172,100 @@ def overlaps(a: Side, b: Side, group_a: np.ndarray, group_b: np.ndarray, groups:
     return np.repeat(np.arange(len(a.ids)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _separated(size: int) -> np.ndarray:
-    out = np.empty((3, size), object)
-    for k, mark in enumerate(",|;"):
-        out[k] = [f"{i}{mark}" for i in range(size)]
-    return out
-
-
-_TEXT: dict[int, np.ndarray] = {}
-
-
-def group_text(a: Side, b: Side, group_a: np.ndarray, group_b: np.ndarray, size: int) -> np.ndarray:
-    """The ids as text, both sides group by group, each followed by its separator; a document's text ends with ``;``."""
-    if size not in _TEXT:
-        _TEXT[size] = _separated(size)
+def group_text(a: Side, b: Side, group_a: np.ndarray, group_b: np.ndarray, written: np.ndarray) -> np.ndarray:
+    """The ids as text, both sides group by group, each followed by its separator: the last of a group by ``;``."""
     out = np.empty(len(a.ids) + len(b.ids), object)
     for ids, group, other, mark, side in ((a.ids, group_a, group_b, 1, "left"), (b.ids, group_b, group_a, 2, "right")):
         last = np.ones(len(ids), bool)
         last[:-1] = group[1:] != group[:-1]
-        out[np.arange(len(ids)) + np.searchsorted(other, group, side)] = _TEXT[size][np.where(last, mark, 0), ids]
+        out[np.arange(len(ids)) + np.searchsorted(other, group, side)] = written[np.where(last, mark, 0), ids]
     return out
 
 
-def align(texts: pa.Array, paths: tuple[str, str]) -> dict[str, object]:
-    """Counts, group hash and distinct linked pairs of every text of a batch."""
-    left, right = sides(paths)
-    plain = [t or "" for t in texts.to_pylist()]
-    ids_a, ids_b = left.encode(plain), right.encode(plain)
-    wanted = [b" " + t.encode() for t in plain]
-    good = _spelled(ids_a, left.spelling, wanted) & _spelled(ids_b, right.spelling, wanted)
-    a, b = _side(ids_a, left.spelling, good), _side(ids_b, right.spelling, good)
-    group_a, group_b, groups = coalesce(a, b)
-    at_a, at_b = overlaps(a, b, group_a, group_b, groups)
-    doc_a = np.repeat(np.arange(len(plain)), np.diff(a.first))
-    first_group = np.searchsorted(np.concatenate([group_a, [groups]]), np.arange(groups + 1))
-    doc_of_group = doc_a[first_group[:-1]] if groups else np.zeros(0, np.int64)
-    doc = doc_a[at_a]
-    codes = (a.ids[at_a] << B_BITS) | b.ids[at_b]
-    order = np.lexsort((codes, doc))
-    doc, codes = doc[order], codes[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    number = np.diff(np.concatenate([at, [len(codes)]])).astype(np.int32)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(plain)))]).astype(np.int32)
-    pieces = group_text(a, b, group_a, group_b, max(len(left.spelling.length), len(right.spelling.length)))
-    total = a.first + b.first
-    shas = []
-    for s, e in zip(total[:-1].tolist(), total[1:].tolist(), strict=True):
-        shas.append(hashlib.sha256("".join(pieces[s:e])[:-1].encode()).hexdigest() if e > s else "")
-    return {
-        "n_a": np.diff(a.first), "n_b": np.diff(b.first), "n_groups": np.bincount(doc_of_group, minlength=len(plain)),
-        "n_links": np.bincount(doc_a[at_a], minlength=len(plain)), "groups_sha256": shas,
-        "codes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes[at])), "links": pa.ListArray.from_arrays(pa.array(offsets), pa.array(number)),
-    }
+class Aligner:
+    """Alignments of distinct pieces, kept while they are at most ``limit`` characters; a full store is emptied, which changes no result."""
+
+    def __init__(self, paths: tuple[str, str], limit: int = CACHE_CHARS):
+        self.paths, self.limit = paths, limit
+        self.left, self.right = ByteLevel(paths[0]), Pieces(paths[1])
+        size = max(len(self.left.spelling.length), len(self.right.spelling.length))
+        self.written = np.array([[f"{i}{mark}" for i in range(size)] for mark in ",|;"], object)
+        self.clear()
+
+    def __reduce__(self) -> tuple[type, tuple[tuple[str, str], int]]:
+        return Aligner, (self.paths, self.limit)
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        self.text = np.zeros(0, object)
+        self.numbers = np.zeros((5, 0), np.int64)  # A ids, B ids, groups, links, whether the ids spell the piece
+        self.first = np.zeros(1, np.int64)
+        self.codes = np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Align new pieces, all end to end, and keep them."""
+        ids_a, ids_b = self.left.encode(pieces), self.right.encode([p[1:] for p in pieces])
+        wanted = [p.encode() for p in pieces]
+        good = _spelled(ids_a, self.left.spelling, wanted) & _spelled(ids_b, self.right.spelling, wanted)
+        a, b = _side(ids_a, self.left.spelling, good), _side(ids_b, self.right.spelling, good)
+        group_a, group_b, groups = coalesce(a, b)
+        at_a, at_b = overlaps(a, b, group_a, group_b, groups)
+        of_a = np.repeat(np.arange(len(pieces)), np.diff(a.first))
+        first_of_group = np.searchsorted(group_a, np.arange(groups))
+        n = [np.diff(a.first), np.diff(b.first), np.bincount(of_a[first_of_group], minlength=len(pieces)), np.bincount(of_a[at_a], minlength=len(pieces)), good]
+        tokens = group_text(a, b, group_a, group_b, self.written)
+        ends = (a.first + b.first).tolist()
+        text = np.empty(len(pieces), object)
+        text[:] = ["".join(tokens[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        for i, piece in enumerate(pieces):
+            self.place[piece] = len(self.text) + i
+        self.text = np.concatenate([self.text, text])
+        self.numbers = np.concatenate([self.numbers, np.array(n, np.int64)], axis=1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n[3])])
+        self.codes = np.concatenate([self.codes, (a.ids[at_a] << B_BITS) | b.ids[at_b]])
+        self.chars += sum(map(len, pieces))
+
+    def align(self, texts: pa.Array) -> dict[str, object]:
+        """Counts, group hash and distinct linked pairs of every text of a batch."""
+        per_doc = [CUT.split(" " + t) if t else [] for t in texts.to_pylist()]
+        pieces = [p for doc in per_doc for p in doc]
+        missing = [p for p in dict.fromkeys(pieces) if p not in self.place]
+        if self.chars + sum(map(len, missing)) > self.limit:
+            self.clear()
+            missing = list(dict.fromkeys(pieces))
+        if missing:
+            self._learn(missing)
+        at = np.fromiter((self.place[p] for p in pieces), np.int64, len(pieces))
+        doc = np.repeat(np.arange(len(per_doc)), [len(x) for x in per_doc])
+        bad = np.bincount(doc[self.numbers[4][at] == 0], minlength=len(per_doc)) > 0
+        at, doc = at[~bad[doc]], doc[~bad[doc]]
+        n_a, n_b, n_groups, n_links = (np.bincount(doc, weights=x[at], minlength=len(per_doc)).astype(np.int64) for x in self.numbers[:4])
+        ends = np.searchsorted(doc, np.arange(len(per_doc) + 1)).tolist()
+        written = self.text[at]
+        shas = [hashlib.sha256("".join(written[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        size = self.numbers[3][at]
+        place = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        of_link = np.repeat(doc, size)
+        codes = self.codes[place]
+        order = np.lexsort((codes, of_link)) if len(per_doc) >= 1 << (63 - 2 * B_BITS) else np.argsort((of_link << 2 * B_BITS) | codes)
+        of_link, codes = of_link[order], codes[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (of_link[1:] != of_link[:-1])
+        kept = np.flatnonzero(new)
+        number = np.diff(np.concatenate([kept, [len(codes)]])).astype(np.int32)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of_link[kept], minlength=len(per_doc)))]).astype(np.int32))
+        return {
+            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": shas,
+            "codes": pa.ListArray.from_arrays(offsets, pa.array(codes[kept])), "links": pa.ListArray.from_arrays(offsets, pa.array(number)),
+        }
+
+
+def aligner(paths: tuple[str, str]) -> Aligner:
+    """The worker's aligner for two vocabulary files."""
+    if paths not in _ALIGNERS:
+        _ALIGNERS[paths] = Aligner(paths)
+    return _ALIGNERS[paths]
 
 
 def local_alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -231,7 +273,7 @@ def local_alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> D
     paths = paths or default_paths()
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"doc_id": batch.column("doc_id")} | align(batch.column("text"), paths)
+        return {"doc_id": batch.column("doc_id")} | aligner(paths).align(batch.column("text"))
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, LOCAL)
 

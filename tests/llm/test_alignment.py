@@ -11,7 +11,7 @@ from cohortlab.llm import alignment
 
 def plain_tokens(text):
     """Both sides as (id, bytes), or none."""
-    left, right = alignment.sides(alignment.default_paths())
+    left, right = alignment.aligner(alignment.default_paths()).left, alignment.aligner(alignment.default_paths()).right
     if not text:
         return [], []
     alphabet = alignment.byte_alphabet()
@@ -109,3 +109,24 @@ def test_coalescing_equals_plain_cuts(docs):
     assert groups == cuts_wanted
     got = set(zip(*(x.tolist() for x in alignment.overlaps(a, b, group_a, group_b, groups)), strict=True))
     assert got == {(i, j) for i, x in enumerate(sides[0]) for j, y in enumerate(sides[1]) if x[0] < y[1] and y[0] < x[1]}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "The", "don't", "é", "漢", "▁", "\u00a0", "\u3000", "\u2003", "\u0301", "1", "23", ".", "--", "\x1c", "\U0001f600", "ǆ", "ﬁ", "ß", "<s>", "<|endoftext|>"]), max_size=14))
+def test_pieces_encode_as_the_whole_text(parts):
+    text = "".join(parts)
+    both = alignment.aligner(alignment.default_paths())
+    pieces = alignment.CUT.split(" " + text)
+    assert [i for ids in both.left.encode(pieces) for i in ids] == both.left.tokenizer.encode(" " + text, add_special_tokens=False).ids
+    assert [i for ids in both.right.encode([p[1:] for p in pieces]) for i in ids] == both.right.model.encode(text) or text == ""
+
+
+def test_no_entry_goes_over_a_cut_and_a_full_store_is_emptied():
+    both = alignment.aligner(alignment.default_paths())
+    model = both.right.model
+    assert not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+    texts = alignment.pa.array([prose(i, 20) for i in range(10)] + MIXED)
+    small = alignment.Aligner(alignment.default_paths(), limit=50)
+    for _ in range(2):
+        want, got = both.align(texts), small.align(texts)
+        assert all(alignment.pa.array(want[k]).equals(alignment.pa.array(got[k])) for k in want)
