@@ -16,7 +16,7 @@ from cohortlab.operators.measure import prefer_measure, preferred_group_mean
 from cohortlab.operators.reshape import (
     distinct_values, drop_exact_duplicates, duplicate_count, melt_years, stack_columns, union_all,
 )
-from cohortlab.queries.registry import order_year, query, rounded, table
+from cohortlab.queries.registry import order_year, order_years, query, rounded, table
 from cohortlab.sources.statistics import harmonise_statistics
 from cohortlab.sources.welfare import harmonise_welfare
 
@@ -143,13 +143,13 @@ def rename_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rows.toDF(welfare, workbook).groupBy(welfare, workbook).agg(F.count("*").alias("n"))
 
 
-@query("""WITH y AS (SELECT * FROM (VALUES (1996), (1997), (1998)) t(year)), p AS (SELECT DISTINCT o_orderpriority FROM orders)
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders WHERE o_orderdate IS NOT NULL), p AS (SELECT DISTINCT o_orderpriority FROM orders)
 SELECT p.o_orderpriority, CAST(y.year AS INTEGER) AS year, round(sum(o_totalprice), 2) AS total
 FROM p CROSS JOIN y LEFT JOIN orders o ON o.o_orderpriority = p.o_orderpriority AND year(o.o_orderdate) = y.year GROUP BY 1, 2""",
     name="melt_years")
 def melt_years_query(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderpriority", order_year().alias("year"), "o_totalprice")
-    wide = orders.groupBy("o_orderpriority").pivot("year", [1996, 1997, 1998]).agg(F.sum("o_totalprice"))
+    wide = orders.groupBy("o_orderpriority").pivot("year", order_years(orders)).agg(F.sum("o_totalprice"))
     return rounded(melt_years(wide, "total"), ["total"], 2)
 
 
@@ -229,12 +229,11 @@ def statistics_table(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderstatus WHEN 'F' THEN 'Sweden' WHEN 'O' THEN 'Foreign Born (Total)' ELSE 'Other' END
 AS birth_region_standardized, round(avg(t), 4) AS welfare_amount_avg FROM (
   SELECT o_orderstatus, o_orderdate, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE floor(o_totalprice) END AS t FROM orders
-  WHERE year(o_orderdate) IN (1997, 1998)) GROUP BY 1, 2""")
+  WHERE o_orderdate IS NOT NULL) GROUP BY 1, 2""")
 def welfare_wide(spark: SparkSession, sf: str) -> DataFrame:
     """A wide-by-year table of text cells with suppressed values, melted, mapped and averaged."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders").withColumn("year", order_year())
     amount = F.when(F.col("o_orderpriority") == "5-LOW", "X").otherwise(F.floor("o_totalprice").cast("string"))
     born = F.when(F.col("o_orderstatus") == "F", "Inrikes födda").when(F.col("o_orderstatus") == "O", "Utrikes födda").otherwise("Okänt")
-    wide = orders.filter(order_year().isin(1997, 1998)).select(
-        born.alias("Född i"), *[F.when(order_year() == y, amount).alias(str(y)) for y in (1997, 1998)])
+    wide = orders.filter("year is not null").select(born.alias("Född i"), *[F.when(F.col("year") == y, amount).alias(str(y)) for y in order_years(orders)])
     return rounded(harmonise_welfare(wide), ["welfare_amount_avg"], 4)

@@ -37,3 +37,8 @@ def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
 
 def order_year() -> Column:
     return F.year("o_orderdate")
+
+
+def order_years(orders: DataFrame) -> list[int]:
+    """All years found in the column ``year``: a handful."""
+    return sorted(r[0] for r in orders.select("year").where("year is not null").distinct().collect())

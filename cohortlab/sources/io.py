@@ -13,6 +13,8 @@ def optional_source(spark: SparkSession, path: str, load: Callable[..., DataFram
     """The loaded source, or None if its path does not exist. Any other failure is raised."""
     try:
         return load(spark, path, *args, **kwargs)
+    except FileNotFoundError:
+        return None
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in (error.getCondition() or ""):
             return None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +15,20 @@ from cohortlab.functions.predicates import is_total, keep_matching
 from cohortlab.operators.aggregate import group_mean
 from cohortlab.operators.measure import preferred_group_mean
 from cohortlab.sources.settings import BIRTH_REGIONS, INDICATORS, REGION, STATISTICS_FILTERS, STATISTICS_TOTALS
+from cohortlab.sources.titled import scan_by_name
 
 KEYS = ["year", REGION]
 
 
 def scan_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text with a header line; every column is read as text, without an inference pass."""
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
+    """Delimited text, a header line per file; every column is read as text, by its name in its own file.
+
+    In a store that only Spark's readers open, all files must have the same header, or the scan fails.
+    """
+    try:
+        return scan_by_name(spark, path, sep, encoding)
+    except pa.ArrowInvalid:
+        return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, enforceSchema=False)
 
 
 def harmonised_rows(raw: DataFrame, indicator: str, mapping: Mapping[str, str] = BIRTH_REGIONS) -> tuple[DataFrame, str, Column]:

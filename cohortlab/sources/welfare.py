@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlab.functions.labels import map_rules
 from cohortlab.functions.names import digit_columns, find_column, rename_all, welfare_name
@@ -13,26 +12,12 @@ from cohortlab.operators.aggregate import group_mean
 from cohortlab.operators.merge import TOTAL_COHORT
 from cohortlab.operators.reshape import melt_years
 from cohortlab.sources.settings import REGION, WELFARE_REGION_FRAGMENTS, WELFARE_RULES
+from cohortlab.sources.titled import scan_by_name
 
 
 def scan_titled(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """The header is the first of the leading two lines that has an all-digit name.
-
-    The body is read once with that explicit all-text schema; title, header and footer lines are
-    dropped by predicate.
-    """
-    top = [r[0] for r in spark.read.option("encoding", encoding).text(path).take(2)]
-    lines = [[c.strip().strip('"').lstrip("﻿") for c in line.split(sep)] for line in top]
-    header = next((names for names in lines if digit_columns(names)), None)
-    if header is None:
-        raise ValueError(f"no year column in {path}")
-    schema = StructType([StructField(n, StringType()) for n in header])
-    rows = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=False)
-    repeated, filled = F.lit(True), F.lit(False)
-    for name in header[1:]:
-        repeated = repeated & F.coalesce(F.col(f"`{name}`") == name, F.lit(False))
-        filled = filled | F.col(f"`{name}`").isNotNull()
-    return rows.filter(~repeated & filled)
+    """Rows of every file at ``path`` by column name; each file may have a title line, a footer and years of its own."""
+    return scan_by_name(spark, path, sep, encoding, header="year")
 
 
 def harmonise_welfare(raw: DataFrame) -> DataFrame:
