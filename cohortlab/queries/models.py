@@ -153,7 +153,55 @@ def lr_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, test = split_vectors(spark, sf)
-    return fit_boosted(train, "y", rounds=20).score(test).select(ID, "y", "score")
+    return fit_boosted(train, "y").score(test).select(ID, "y", "score")
+
+
+SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _candidates(rows: str, key: str) -> str:
+    """SQL for the best split of each ``key`` of ``rows`` (key, f, v, g, h): every value of every feature is tried."""
+    return f"""SELECT {key}, f, v, gl, hl, gt, ht, gain FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, f, v) AS place FROM (
+  SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM (
+    SELECT {key}, f, v, sum(g) OVER (PARTITION BY {key}, f ORDER BY v) AS gl, sum(h) OVER (PARTITION BY {key}, f ORDER BY v) AS hl,
+      sum(g) OVER (PARTITION BY {key}, f) AS gt, sum(h) OVER (PARTITION BY {key}, f) AS ht
+    FROM (SELECT {key}, f, v, sum(g) AS g, sum(h) AS h FROM {rows} GROUP BY 1, 2, 3)) WHERE hl >= 1 AND ht - hl >= 1)) WHERE place = 1"""
+
+
+LONG_SQL = """t AS (SELECT row_number() OVER () AS id, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+u AS (SELECT id, y, unnest([0, 1, 2]) AS f, unnest([l_quantity, l_discount, l_tax]) AS v FROM t)"""
+NAMES_SQL = "['l_quantity', 'l_discount', 'l_tax'][f + 1]"
+
+
+def _first_tree(spark: SparkSession, sf: str, rounds: int, depth: int) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(
+        F.array(*[F.col(c).cast("double") for c in SPLIT_FEATURES]).alias("features"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    model = fit_boosted(rows, "y", rounds=rounds, depth=depth, rows_share=1.0, column_share=1.0, weight=1.0)
+    return rounded(rounded(model.split_table(rows, SPLIT_FEATURES), ["gain"], 4), ["value"], 7)
+
+
+@query(f"""WITH {LONG_SQL}, r AS (SELECT *, 0 AS node, 0.5 - y AS g, 0.25 AS h FROM u), a AS ({_candidates("r", "node")}),
+w AS (SELECT u.id, CASE WHEN u.v <= a.v THEN 1 ELSE 2 END AS node FROM u JOIN a ON u.f = a.f),
+r2 AS (SELECT r.id, r.f, r.v, r.g, r.h, w.node FROM r JOIN w USING (id)), b AS ({_candidates("r2", "node")}),
+n AS (SELECT DISTINCT node FROM b)
+SELECT 0 AS tree, node::INTEGER AS node, {NAMES_SQL} AS feature, v::DOUBLE AS cut, round(gain, 4) AS gain, NULL::DOUBLE AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
+UNION ALL SELECT 0, (2 * node + 1)::INTEGER, NULL, NULL, NULL, round(-0.1 * gl / (hl + 1), 7) FROM b
+UNION ALL SELECT 0, (2 * node + 2)::INTEGER, NULL, NULL, NULL, round(-0.1 * (gt - gl) / (ht - hl + 1), 7) FROM b""")
+def gbt_depth_two(spark: SparkSession, sf: str) -> DataFrame:
+    """One tree of two levels: splits, gains and leaf weights against every possible split."""
+    return _first_tree(spark, sf, 1, 2)
+
+
+@query(f"""WITH {LONG_SQL}, r AS (SELECT *, 0 AS tree, 0.5 - y AS g, 0.25 AS h FROM u), a AS ({_candidates("r", "tree")}),
+m AS (SELECT u.id, CASE WHEN u.v <= a.v THEN -0.1 * gl / (hl + 1) ELSE -0.1 * (gt - gl) / (ht - hl + 1) END AS margin FROM u JOIN a ON u.f = a.f),
+r2 AS (SELECT 1 AS tree, f, v, 1 / (1 + exp(-margin)) - y AS g, 1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))) AS h FROM u JOIN m USING (id)),
+b AS (SELECT * FROM a UNION ALL {_candidates("r2", "tree")})
+SELECT tree::INTEGER AS tree, 0 AS node, {NAMES_SQL} AS feature, v::DOUBLE AS cut, round(gain, 4) AS gain, NULL::DOUBLE AS value FROM b
+UNION ALL SELECT tree::INTEGER, 1, NULL, NULL, NULL, round(-0.1 * gl / (hl + 1), 7) FROM b
+UNION ALL SELECT tree::INTEGER, 2, NULL, NULL, NULL, round(-0.1 * (gt - gl) / (ht - hl + 1), 7) FROM b""")
+def gbt_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two trees of one level: the second is grown on the gradients and hessians that the first leaves."""
+    return _first_tree(spark, sf, 2, 1)
 
 
 @query()

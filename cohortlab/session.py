@@ -48,7 +48,18 @@ def durable(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.durable_path = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a table of :func:`durable` that nothing reads any more; a DataFrame that isn't one stays as it is."""
+    path = getattr(stored, "durable_path", None)
+    if path is not None:
+        jvm = stored.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(stored.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
