@@ -87,6 +87,21 @@ def test_kernel_density(frame):
         assert [g[2] for g in got] == pytest.approx(list(want))
 
 
+def test_kernel_density_equals_the_direct_sum_and_stays_in_the_jvm(spark):
+    draw = np.random.default_rng(8)
+    x = np.concatenate([draw.normal(size=3000), draw.exponential(size=200) * 50, [1e4, -3e4, 7.5, 7.5]])
+    df = spark.createDataFrame([(float(v), 1) for v in x] + [(None, 1), (float("nan"), 1), (2.0, None)], "x double, y int")
+    density = kernel_density(df, "x", "y")
+    rows = sorted(density.collect(), key=lambda r: r.point)
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert [r.point for r in rows] == list(range(200)) and np.allclose([r.x for r in rows], grid)
+    assert np.abs(np.array([r.density for r in rows]) - want).max() < 1e-13 / h
+    plan = density._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_density_of_a_constant_class_is_left_out(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 1.0), (1, 1.0), (1, 2.0)], "y int, x double")
     assert {r.y for r in kernel_density(df, "x", "y").collect()} == {1}
