@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from cohortlab.models.linear import LinearModel, fit_linear, fit_linear_folds
 from cohortlab.operators.reshape import union_all
 from cohortlab.operators.split import assign_folds, train_test
+from cohortlab.session import durable
+from cohortlab.together import AT_MOST, run_together
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,14 +49,12 @@ Fit = Callable[[DataFrame, list[str], str], Any]
 
 
 def cross_validate(
-    df: DataFrame, row_id: str, features: list[str], target: str, fit: Fit, k: int = 5, seed: int = 42
+    df: DataFrame, row_id: str, features: list[str], target: str, fit: Fit, k: int = 5, seed: int = 42, at_most: int = AT_MOST
 ) -> DataFrame:
-    """R², MAE and RMSE per fold for any model, refitted on the other folds."""
-    folded = assign_folds(df, row_id, k, seed=seed)
-    parts = []
-    for f in range(k):
-        model = fit(folded.filter(F.col("fold") != f), features, target)
-        parts.append(model.predict(folded.filter(F.col("fold") == f)))
+    """R², MAE and RMSE per fold for any model, refitted on the other folds; the fits run as concurrent jobs."""
+    folded = durable(assign_folds(df, row_id, k, seed=seed))
+    fitted = run_together(df.sparkSession, {f"fold-{f}": lambda f=f: fit(folded.filter(F.col("fold") != f), features, target) for f in range(k)}, at_most)
+    parts = [fitted[f"fold-{f}"].predict(folded.filter(F.col("fold") == f)) for f in range(k)]
     return regression_metrics(union_all(parts), target, "prediction", "fold").drop("mape")
 
 
