@@ -11,10 +11,11 @@ from cohortlab.operators.distribution import histogram, kernel_density, percenti
 from cohortlab.operators.impute import (
     apply_standard, class_weights, clip_outliers, fill_missing, fit_standard, min_max_scale, positive_weight, with_class_weight,
 )
-from cohortlab.operators.quantiles import box_statistics, exact_quantiles
+from cohortlab.operators.quantiles import box_statistics, exact_quantiles, merge_sketches, quantile_sketches, rank_error, sketched_quantiles
 from cohortlab.operators.split import assign_folds, fixed_sample, sample_keeping, split_rows
 from cohortlab.plans.anomaly import clean
 from cohortlab.queries.registry import query, rounded, table
+from cohortlab.session import broadcast_if_small, durable
 
 GAPS_SQL = "gaps AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders)"
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -210,6 +211,20 @@ def kde(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(kernel_density(rows, "logged", "y"), ["x"], 6), ["density"], 7)
 
 
+@query("""SELECT 'l_extendedprice' AS "column", p AS probability, (SELECT count(l_extendedprice) FROM lineitem) AS n, TRUE AS close
+FROM (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS p)""")
+def merged_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches stored per return flag and merged: is the exact rank of each sketched quantile within three times the stated error?"""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    stored = durable(quantile_sketches(rows, ["l_extendedprice"], ["l_returnflag"]))
+    merged = merge_sketches(stored)
+    found = broadcast_if_small(sketched_quantiles(merged, [0.01, 0.25, 0.5, 0.75, 0.99]).join(merged.select("column", "n"), "column"))
+    x, q = F.col("l_extendedprice"), F.col("value")
+    ranks = rows.crossJoin(found).groupBy("column", "probability", "n").agg(F.avg((x < q).cast("double")).alias("low"), F.avg((x <= q).cast("double")).alias("high"))
+    slack = 3 * rank_error()
+    return ranks.select("column", "probability", "n", ((F.col("low") - slack <= F.col("probability")) & (F.col("probability") <= F.col("high") + slack)).alias("close"))
+
+
 @query("SELECT round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events")
 def percentile99(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events")

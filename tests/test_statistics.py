@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.operators.correlation import correlation_matrix, label_correlation
 from cohortlab.operators.correlation import _by_blocks
 from cohortlab.operators.distribution import feature_error_by_class, histogram, kernel_density, percentile
+from cohortlab.operators import quantiles
 from cohortlab.operators.quantiles import box_statistics, exact_quantiles
 from cohortlab.operators.reshape import duplicate_count, metrics_long
 from cohortlab.operators.split import assign_folds, fixed_sample, sample_keeping, split_rows
@@ -74,6 +75,65 @@ def test_histogram(frame):
         assert area == pytest.approx(1.0)
 
 
+def skewed(spark, n=6000):
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.lognormal(size=n // 2), np.repeat(1.5, n // 3), draw.normal(size=n - n // 2 - n // 3) * 100])
+    y = (draw.random(n) < 0.3).astype(int)
+    rows = [(int(b), float(a), float(-a)) for a, b in zip(x, y, strict=True)]
+    return spark.createDataFrame([*rows, (None, 1.0, 1.0), (1, None, float("nan"))], "y int, x double, z double").repartition(5), x, y
+
+
+@pytest.mark.parametrize(("error", "in_order"), [(None, None), (1e-6, None), (None, 10), (1e-6, 10)])
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch, error, in_order):
+    """Probes that are too narrow are widened; ranking by value ranges gives the same."""
+    if error:
+        monkeypatch.setattr(quantiles, "rank_error", lambda: error)
+    if in_order:
+        monkeypatch.setattr(quantiles, "ROWS_IN_ORDER", in_order)
+    df, x, y = skewed(spark)
+    probabilities = [0.0, 0.003, 0.25, 0.5, 0.501, 0.99, 1.0]
+    got = {(r.y, r.column, r.probability): r.value for r in exact_quantiles(df, ["x", "z"], probabilities, ["y"]).collect()}
+    assert len(got) == 28
+    for (c, column, p), value in got.items():
+        assert value == pytest.approx(np.percentile((x if column == "x" else -x)[y == c], 100 * p), abs=1e-9)
+    for r in box_statistics(df, ["x"], "y").collect():
+        v = x[y == r.y]
+        q1, q3 = np.percentile(v, [25, 75])
+        assert r.whisker_low == pytest.approx(min(v[v >= q1 - 1.5 * (q3 - q1)].min(), q1))
+        assert r.whisker_high == pytest.approx(max(v[v <= q3 + 1.5 * (q3 - q1)].max(), q3))
+
+
+def test_quantiles_read_their_table_twice(spark):
+    df, x, _ = skewed(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = df.mapInArrow(count, df.schema)
+    exact_quantiles(watched, ["x", "z"], [0.1, 0.5, 0.9], ["y"]).collect()
+    assert read.value == 2 * (len(x) + 2)
+    box_statistics(watched, ["x", "z"], "y").collect()
+    assert read.value == 4 * (len(x) + 2)
+
+
+def test_stored_sketches_of_parts_answer_for_the_whole(spark):
+    df, x, _ = skewed(spark, 60_000)
+    parts = quantiles.quantile_sketches(df.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(7))), ["x"], ["part"])
+    merged = quantiles.merge_sketches(parts)
+    assert merged.first()["n"] == len(x) + 1
+    for r in quantiles.sketched_quantiles(merged, [0.1, 0.6, 0.95]).collect():
+        low, high = (x < r.value).mean(), (x <= r.value).mean()
+        assert low - 3 * quantiles.rank_error() <= r.probability <= high + 3 * quantiles.rank_error()
+
+
+def test_quantiles_with_dotted_names(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "key int, `x.y` double")
+    assert {(r.key, r.column, r.value) for r in exact_quantiles(df, ["x.y"], [0.5], ["key"]).collect()} == {(1, "x.y", 3.0), (2, "x.y", 5.0)}
+
+
 def test_kernel_density(frame):
     data = sample()
     rows = kernel_density(frame, "x", "y").collect()
