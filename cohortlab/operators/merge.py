@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.session import broadcast_if_small
@@ -49,6 +49,22 @@ def merge_on_keys(
     return reduce(lambda a, b: a.join(b, keys, how), pruned)
 
 
+def merge_stored(spark: SparkSession, name: str, tables: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Outer merge, in order, of tables that ``save_for_merge`` wrote under ``name``; a repeated key stops the job.
+
+    The stored keys are joined with each table bucket by bucket. All are bucketed and sorted alike, and a left join keeps
+    its left side's buckets, so the plan has no exchange.
+    """
+    keys = keys or KEYS
+    merged = spark.table(f"{name}_keys")
+    for source in first_source_wins([spark.table(t) for t in tables], keys):
+        values = [c for c in source.columns if c not in keys]
+        single = F.when(F.count("*") == 1, F.lit(0)).otherwise(F.raise_error(F.lit("a source repeats a key")).cast("int"))
+        rows = source.groupBy(*keys).agg(*[F.max(f"`{c}`").alias(c) for c in values], single.alias("_single"))
+        merged = merged.join(rows.filter("_single = 0").drop("_single").hint("merge"), keys, "left")
+    return merged
+
+
 def _merge_by_union(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     tagged = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

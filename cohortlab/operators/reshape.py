@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.names import digit_columns
+from cohortlab.operators import repeats
 
 
 def melt_years(df: DataFrame, value: str, year: str = "year") -> DataFrame:
@@ -23,13 +24,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one row of each group of equal rows (equal rows collapse before the shuffle)."""
-    return df.dropDuplicates()
+    """Keep one row of each group of equal rows.
+
+    Rows of fixed width collapse before the shuffle as they are. Wider ones are told apart by digests first, and only those whose
+    digest may have come twice are shuffled whole: see :mod:`cohortlab.operators.repeats`.
+    """
+    if repeats.narrow(df):
+        return df.dropDuplicates()
+    once, maybe = repeats.split_by_digest(df)
+    return once.unionAll(maybe.dropDuplicates())
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+    """One row: how many rows repeat an earlier one. Rows whose digest came once aren't shuffled."""
+    rows = df if repeats.narrow(df) else repeats.split_by_digest(df)[1]
+    groups = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias("copies"))
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from cohortlab.functions.predicates import drop_values
 from cohortlab.operators.aggregate import (
     aggregate_by_region, aggregate_by_region_and_year, composite_score, distinct_counts, group_mean, group_sum,
 )
-from cohortlab.operators.merge import KEYS, merge_on_keys, proxy_fill
+from cohortlab.operators.merge import KEYS, merge_on_keys, merge_stored, proxy_fill
 from cohortlab.operators.ranked import latest_periods
 from cohortlab.plans.cohort import merge_and_fill, outcome_by_region, outcome_trend, plot_rows, recent_comparison, region_summary
-from cohortlab.queries.registry import order_year, query, rounded, table
+from cohortlab.queries.registry import new_path, order_year, query, rounded, table
 from cohortlab.session import durable
+from cohortlab.sources.io import save_for_merge
 
 TOTAL, EXEMPT = "AMERICA", ("EUROPE",)
 MEASURES = ["median_income", "employment_rate", "mv_permits_count", "welfare_amount_avg"]
@@ -125,6 +128,15 @@ def cohort_merge_outer_joins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(merge_on_keys(cohort_sources(spark, sf)), MONEY, 4)
 
 
+@query(f"WITH {OUTER_SQL} SELECT {ROUNDED_SQL} FROM merged")
+def merge_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources stored once in buckets of their keys, then merged without a shuffle."""
+    names = ["income", "employment", "permits", "welfare"]
+    name = f"merge_{uuid.uuid4().hex}"
+    tables = save_for_merge(dict(zip(names, cohort_sources(spark, sf), strict=True)), KEYS, name, new_path(spark, "merge"), 8)
+    return rounded(merge_stored(spark, name, tables), MONEY, 4)
+
+
 @query(f"WITH {FACTS_SQL}, {merge_sql('INNER')} SELECT {ROUNDED_SQL} FROM merged")
 def cohort_merge_inner(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(merge_on_keys(cohort_sources(spark, sf), how="inner"), MONEY, 4)

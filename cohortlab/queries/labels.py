@@ -164,6 +164,18 @@ def duplicate_count_query(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_count(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
+@query("""SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents) GROUP BY 1, 2""")
+def dedupe_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct documents: digests decide which texts are shuffled at all."""
+    rows = drop_exact_duplicates(table(spark, sf, "documents").select("text", "lang", "source", "n_chars"))
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT coalesce(sum(c - 1), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang)")
+def duplicate_count_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_count(table(spark, sf, "documents").select("text", "lang"))
+
+
 @query("SELECT DISTINCT source FROM documents", name="distinct_values")
 def distinct_values_query(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_values(table(spark, sf, "documents"), "source")

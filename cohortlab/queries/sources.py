@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.queries.registry import order_year, order_years, query, rounded, table
-from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.queries.registry import new_path, order_year, order_years, query, rounded, table
 from cohortlab.sources.io import optional_source, save_table, scan_transactions
 from cohortlab.sources.statistics import load_statistics, scan_delimited
 from cohortlab.sources.welfare import load_welfare
@@ -19,11 +16,6 @@ AS birth_region_standardized, round(avg(CASE WHEN o_orderpriority = '5-LOW' THEN
 FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, 2"""
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def write_titled(rows: DataFrame, id_column: str, years: list[int], title: bool, reverse: bool, path: str) -> None:
     """Stand-in input: ``FILES`` wide files of ``;`` lines, each with an optional title line, its header, its rows and a footer."""
     columns = [id_column, *map(str, years)]
