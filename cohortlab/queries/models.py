@@ -6,6 +6,8 @@ stochastic fits have none and are held to invariants in the tests.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,7 +137,7 @@ def train_eval(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def rf_reg_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines(spark, sf)
-    return fit_forest_regression(rows, ["l_quantity", "l_discount"], "l_extendedprice", trees=20).importances(rows)
+    return fit_forest_regression(rows, ["l_quantity", "l_discount"], "l_extendedprice").importances(rows)
 
 
 @query()
@@ -207,56 +209,81 @@ def gbt_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = split_vectors(spark, sf)
-    fits = {"rf": lambda d, y: fit_forest(d, y, trees=20), "lr": fit_logistic}
+    fits = {"rf": fit_forest, "lr": fit_logistic}
     return out_of_fold_scores(train, ID, "y", fits).select(ID, "y", "rf", "lr")
 
 
+@dataclass(frozen=True)
+class ShareScorer:
+    """Scores every row by the share of ones and the number of rows it was fitted on."""
+
+    share: float
+    rows: int
+
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        return df.withColumn(out, F.lit(self.share) if out == "share" else F.lit(self.rows).cast("double"))
+
+
+def _fit_share(df: DataFrame, label: str) -> ShareScorer:
+    row = df.agg(F.avg(label).alias("share"), F.count("*").alias("n")).first()
+    return ShareScorer(row["share"], row["n"])
+
+
+@query("""WITH r AS (SELECT vec_id, CAST(label = 0 AS INTEGER) AS y FROM embeddings),
+k AS (SELECT *, ntile(3) OVER (PARTITION BY y ORDER BY md5('42|' || vec_id), vec_id) AS fold FROM r)
+SELECT a.vec_id, a.y, round(avg(b.y), 9) AS share, count(*)::DOUBLE AS rows FROM k a JOIN k b ON a.fold <> b.fold GROUP BY 1, 2""")
+def oof_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold coverage: every row is scored once, by what the other folds hold."""
+    found = out_of_fold_scores(vectors(spark, sf), ID, "y", {"share": _fit_share, "rows": _fit_share})
+    return rounded(found.select(ID, "y", "share", "rows"), ["share"], 9)
+
+
 @query()
 def stacked_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold scores train the ensemble; full-model scores feed it on the test part."""
     train, test = split_vectors(spark, sf)
     stacking = durable(out_of_fold_scores(train, ID, "y", {"lr": fit_logistic}))
     scored = fit_logistic(train, "y").score(test, "lr")
-    return fit_stacked(stacking, "y", ["lr"], trees=20).score(scored, "score").select(ID, "y", "lr", "score")
+    return fit_stacked(stacking, "y", ["lr"]).score(scored, "score").select(ID, "y", "lr", "score")
 
 
-def _plain(spark: SparkSession, sf: str, epochs: int) -> tuple[ReconstructionScorer, DataFrame]:
+def _plain(spark: SparkSession, sf: str) -> tuple[ReconstructionScorer, DataFrame]:
     train, test = split_vectors(spark, sf)
-    return fit_autoencoder(unsupervised_data(train, ID, "y"), ID, epochs, batch=64), test
+    return fit_autoencoder(unsupervised_data(train, ID, "y"), ID), test
 
 
-def _variational(spark: SparkSession, sf: str, epochs: int) -> tuple[ReconstructionScorer, DataFrame]:
+def _variational(spark: SparkSession, sf: str) -> tuple[ReconstructionScorer, DataFrame]:
     train, test = split_vectors(spark, sf)
-    return fit_variational(unsupervised_data(train, ID, "y"), ID, epochs, batch=64), test
+    return fit_variational(unsupervised_data(train, ID, "y"), ID), test
 
 
 @query()
 def ae_scores(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = _plain(spark, sf, 10)
+    model, test = _plain(spark, sf)
     return model.score(test).select(ID, "y", "score")
 
 
 @query()
 def vae_scores(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = _variational(spark, sf, 10)
+    model, test = _variational(spark, sf)
     return model.score(test).select(ID, "y", "score")
 
 
 @query()
 def ae_history(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = _plain(spark, sf, 10)
+    model, test = _plain(spark, sf)
     return model.history_table(test)
 
 
 @query()
 def feature_error(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = _plain(spark, sf, 10)
+    model, test = _plain(spark, sf)
     return feature_error_by_class(model.feature_errors(test), "errors", [f"e{i}" for i in range(64)], "y")
 
 
 @query()
 def latent_pca(spark: SparkSession, sf: str) -> DataFrame:
-    model, test = _variational(spark, sf, 10)
+    model, test = _variational(spark, sf)
     return latent_projection(model, test, ID, "y")
 
 
@@ -273,5 +300,4 @@ def anomaly_metrics(spark: SparkSession, sf: str) -> DataFrame:
     lineitem = table(spark, sf, "lineitem")
     rows = lineitem.groupBy("l_orderkey").agg(
         *[F.avg(c).alias(c) for c in features], (F.count_if(F.col("l_returnflag") == "R") >= 4).cast("int").alias("y"))
-    settings = AnomalySettings(epochs=5, trees=10, depth=8, rounds=5)
-    return run(rows, "l_orderkey", features, "y", settings).metrics
+    return run(rows, "l_orderkey", features, "y").metrics
