@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlab.llm import words
 from cohortlab.llm.graph import components, id_filter, may_hold
@@ -287,7 +288,7 @@ def keep_first(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS)
     if vague.isEmpty():
         return kept
     own = docs.join(vague, docs["doc_id"].cast("long").eqNullSafe(vague["gone"]), "left_semi")
-    packed = own.select(F.struct(*[own[c] for c in docs.columns]).alias("row"), own["doc_id"].cast("long").alias("id"), own["text"].alias("text"))
+    packed = own.select(F.struct(*[own[f"`{c}`"] for c in docs.columns]).alias("row"), own["doc_id"].cast("long").alias("id"), own["text"].alias("text"))
 
     def name_sets(batches):
         for batch in batches:
@@ -296,7 +297,7 @@ def keep_first(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS)
                 keys[row], known[row] = set_key(tokens), True
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(keys, mask=~known)], names=["row", "id", "key"])
 
-    named = packed.mapInArrow(name_sets, f"row {packed.schema['row'].dataType.simpleString()}, id long, key long")
+    named = packed.mapInArrow(name_sets, StructType([packed.schema["row"], packed.schema["id"], StructField("key", LongType())]))
     named = named.join(comps, F.col("key") == F.col("node"), "left").select("row", "id", F.coalesce("comp", "key").alias("comp"))
     chosen = named.join(firsts.select("comp", "first"), "comp").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["comp"]).select("row.*")
     return kept.unionByName(chosen).unionByName(named.where("comp is null").select("row.*"))

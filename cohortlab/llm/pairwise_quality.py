@@ -89,16 +89,17 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on labelled documents that are not held out."""
+    """Fit on labelled documents that are not held out, at most ``max_labelled``: a repeated id brings one row, that with the least features."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
     chosen = marks.orderBy(F.xxhash64("doc_id"), "quality").limit(max_labelled)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def extract(batch: pa.RecordBatch) -> dict[str, object]:
         x = features(batch.column("text"))
-        return {"quality": batch.column("quality").cast(pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))}
+        return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality").cast(pa.int32()), "x": pa.array(x.tolist(), pa.list_(pa.float64()))}
 
-    rows = map_rows(known, extract, "quality int, x array<double>").toPandas()
+    each = map_rows(known, extract, "doc_id long, quality int, x array<double>")
+    rows = each.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "quality"])
     if not len(rows):
         return fit(np.zeros((0, FEATURES)), np.zeros(0, bool))
     return fit(np.stack(rows["x"].to_numpy()), rows["quality"].to_numpy() == 1)

@@ -22,6 +22,16 @@ def test_held_out_accuracy_and_cases(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in got if r.predicted} == {r.doc_id for r in kept.collect()}
 
 
+def test_rows_at_the_driver_are_bounded(spark, monkeypatch):
+    """Repeated ids bring one row each, however many documents share them."""
+    rows = [(1, prose(i, 20)) for i in range(300)] + [(2 + i, prose(900 + i, 20)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(42)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(pq, "fit", lambda x, good: seen.append(len(x)) or pq.Model(np.zeros(pq.FEATURES), 0.0, 1.0))
+    pq.learn(table(spark, rows), labels, max_labelled=10)
+    assert 0 < seen[0] <= 10
+
+
 def test_pairs_are_won_by_the_preferred(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 4))

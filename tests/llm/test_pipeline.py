@@ -4,17 +4,18 @@ import pytest
 from llm_support import ODD, edited, prose, table
 
 import __spark_entry__
+from cohortlab.llm import decontaminate, group_matrix, passages
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def test_registered_names():
     queries = __spark_entry__.queries()
-    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in queries and set(__spark_entry__.oracle_sql()) <= set(queries)
 
 
-@pytest.mark.parametrize("name", ["op9_benchmark_decontamination", "op10_url_rules"])
+@pytest.mark.parametrize("name", ["op9_benchmark_decontamination", "op10_url_rules", "op12_line_dedup"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
@@ -58,3 +59,11 @@ def test_every_stage_takes_effect(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     _write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_with_dots(spark):
+    rows = [(i, prose(i, 70)) for i in range(6)] + [(20, f"{prose(90, 60)} {prose(1, 70)}"), (3, prose(8, 70)), (None, prose(9, 70)), (None, "")]
+    docs = table(spark, rows).selectExpr("*", "1 as `a.b`", "'x' as `row.text`")
+    found = passages.repeated_passages(docs)
+    for kept in (group_matrix.keep_first(docs), passages.cut_passages(docs, found), decontaminate.clean(docs, docs.selectExpr("1L as item_id", "'no such words here' as text"), each_row=True)):
+        assert kept.columns == docs.columns and {r["a.b"] for r in kept.collect()} == {1}
