@@ -16,7 +16,8 @@ HEADLINE = [
     "cohort_flagship", "cohort_merge_outer", "proxy_filled", "composite_score", "region_agg", "recent_pair", "statistics_table",
     "welfare_wide", "counts_asylum", "measure_group_mean", "dedupe", "fill_median", "clip_outliers", "standard_scale", "box_stats",
     "label_corr", "corr_matrix_wide", "histogram", "kde", "split_stratified", "kfold_stratified", "roc_points", "model_table",
-    "threshold_sweep", "gd_regression", "cv_metrics", "lr_scores", "ae_scores",
+    "threshold_sweep", "gd_regression", "cv_metrics", "lr_scores", "ae_scores", "titled_csv", "merge_bucketed", "dedupe_wide", "merged_sketches",
+    "gbt_two_rounds", "oof_scores",
 ]
 
 
