@@ -31,8 +31,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """One bit per value of ``id mod 2^bits`` that occurs: a filter of fixed size. An exact join must follow it."""
+def filter_bits(values: int, each: int, least: int, most: int) -> int:
+    """Logarithm of the size of a filter with about ``each`` bits for each of ``values``, within bounds."""
+    return max(least, min(most, (each * max(values, 1) - 1).bit_length()))
+
+
+def id_filter(ids: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """One bit per value of ``id mod 2^bits`` that occurs: a filter of at most 2 MB, sized by the ids. An exact join must follow it."""
+    bits = filter_bits(ids.count(), 16, 12, FILTER_BITS) if bits is None else bits
     part = 1 << (bits - 8)
     cells = ids.select(F.pmod(F.col(column), F.lit(1 << bits)).cast("int").alias("cell")).where("cell is not null").distinct()
 
