@@ -26,7 +26,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     """Keep one row of each group of equal rows.
 
-    Rows of fixed width collapse before the shuffle as they are. Wider ones are told apart by digests first, and only those whose
+    Rows of a few numbers and short texts collapse before the shuffle as they are. Wider ones are told apart by digests first, and only those whose
     digest may have come twice are shuffled whole: see :mod:`cohortlab.operators.repeats`.
     """
     if repeats.narrow(df):

@@ -51,6 +51,9 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
 def test_narrow_and_empty_tables(spark):
     narrow = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, None)], "a int, b double")
     assert repeats.narrow(narrow) and drop_exact_duplicates(narrow).count() == 2 and duplicate_count(narrow).first()[0] == 1
+    texts = spark.createDataFrame([("F", "x" * n) for n in (1, 1, 2)], "a string, b string")
+    assert repeats.narrow(texts) and drop_exact_duplicates(texts).count() == 2
+    assert not repeats.narrow(texts.withColumn("c", F.repeat("b", F.lit(200))))
     empty = spark.createDataFrame([], SCHEMA)
     assert drop_exact_duplicates(empty).count() == 0 and duplicate_count(empty).first()[0] == 0
 
