@@ -6,11 +6,15 @@ intersection / union is at least ``SHARE / 100``.
 * Tokens have one order for all sets: those whose cell of a fixed-size count sketch is crowded come last, the rest by hash.
   The first n - ceil(0.8 n) + 1 tokens of a set, its prefix, must meet the prefix of every partner; a partner of size b shares at
   least ``needed(n, b)`` of them. The sketch decides speed alone.
-* Groups of similar documents: every shared token names a hub, its most shared class, and members verified against
-  their hub form a group with it, joined up to components and split by size bands.
+* Groups of similar documents: every shared token names a hub, its most shared class. Classes that verify against a hub form a
+  component with it; any other class joins the group of the hub that most of its tokens name. Groups are split by size bands.
+* Bounds by band: a class's tokens that another component holds in a size band are counted, and the class stays in play
+  towards a band only where the count reaches the least ``needed`` there. A second count sees only what is in play.
 * Matrix: one row per (token, group) over the tokens of the group's members, however many they are. The count of a query's
   tokens in a group's row bounds what it can share with any member, so only groups that reach the least ``needed`` of their
-  band are opened, and only for queries that aren't yet of the same component. Opened pairs are verified on whole sets.
+  band are opened, and only if they hold another component than the query's.
+* An opened group is compared in blocks of whole sets, each of at most about ``BLOCK_TOKENS`` tokens of queries and as many of
+  members. A block joins components as it goes and gives fewer links than it has classes: a pair is no row before it links.
 
 Every link between different components is found, so the components are exact; a link inside a group already
 joined changes nothing and is not looked for. Sets are compared as 64-bit hashes.
@@ -38,6 +42,7 @@ SHARE = 80
 CELL_BITS = 22
 _CELL_PARTS = 64
 _BAND = 1.05
+BLOCK_TOKENS = 200_000
 
 
 def _sets(batch: pa.RecordBatch):
@@ -129,18 +134,30 @@ def prefixes(docs: DataFrame, levels: np.ndarray, share: int = SHARE) -> DataFra
     return docs.select("text").mapInArrow(scan, "token long, class long, n int, hot boolean")
 
 
-def shared_tokens(postings: DataFrame) -> DataFrame:
-    """Stored ``token, class, n, held`` of the prefix tokens that two classes share; ``held`` counts the class's own such tokens.
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(_BAND))).cast("int")
 
-    Usual tokens have few classes and meet in a window. Crowded ones are first counted by partial aggregates; the join
-    back can be split where it is skewed.
+
+def _reach(share: int) -> int:
+    """The most bands between the sizes of linked sets."""
+    return int(np.ceil(np.log(100 / share) / np.log(_BAND)))
+
+
+def shared_tokens(postings: DataFrame, share: int = SHARE) -> DataFrame:
+    """Stored ``token, class, n, held`` of the prefix tokens that another class of a fitting size holds; ``held`` counts the class's own such tokens.
+
+    Usual tokens have few classes and meet in a window by size, where the nearest sizes tell. Crowded ones are first counted by
+    partial aggregates per size band; the join back can be split where it is skewed.
     """
-    whole = Window.partitionBy("token")
-    cold = postings.where(~F.col("hot")).withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole))
-    cold = cold.where("low != high").select("token", "class", "n")
-    crowded = durable(postings.where("hot").select("token", "class", "n"))
-    shared = crowded.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
-    rows = durable(cold.unionByName(crowded.join(shared, "token")).distinct())
+    by_size = Window.partitionBy("token").orderBy("n", "class")
+    cold = postings.where(~F.col("hot")).withColumn("before", F.lag("class").over(by_size)).where("before is null or before != class")
+    cold = cold.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    cold = cold.where((100 * F.col("smaller") >= share * F.col("n")) | (100 * F.col("n") >= share * F.col("larger"))).select("token", "class", "n")
+    crowded = durable(postings.where("hot").select("token", "class", "n", _band(F.col("n")).alias("band")))
+    cells = crowded.groupBy("token", "band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    near = Window.partitionBy("token").orderBy("band").rangeBetween(-_reach(share), _reach(share))
+    cells = cells.select("token", "band", F.min("low").over(near).alias("low"), F.max("high").over(near).alias("high")).where("low != high")
+    rows = durable(cold.unionByName(crowded.join(cells, ["token", "band"]).select("token", "class", "n").distinct()))
     return durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))
 
 
@@ -158,10 +175,8 @@ def _size_fits(a: Column, b: Column, share: int = SHARE) -> Column:
     return 100 * F.least(a, b) >= share * F.greatest(a, b)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SHARE) -> DataFrame:
-    """The ``a, b`` pairs of classes that link, compared on whole sets recomputed from one document of each class."""
-    pairs = durable(pairs.select("a", "b").distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def whole_sets(wanted: DataFrame, docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored ``key, tokens``: the set of each wanted class, recomputed from one document of it."""
     reps = durable(stored.where("n > 0").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("rep")))
     bits = id_filter(reps, "rep")
 
@@ -177,7 +192,13 @@ def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SH
 
     sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, key long, tokens binary")
     sets = sets.join(reps.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = durable(sets.select("key", "tokens").dropDuplicates(["key"]))
+    return durable(sets.select("key", "tokens").dropDuplicates(["key"]))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SHARE) -> DataFrame:
+    """The ``a, b`` pairs of classes that link, compared on whole sets."""
+    pairs = durable(pairs.select("a", "b").distinct())
+    sets = whole_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), docs, stored)
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("left"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("right"))
 
@@ -195,77 +216,147 @@ def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SH
     return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"))
 
 
-def hub_pairs(shared: DataFrame, share: int = SHARE) -> DataFrame:
-    """Classes and their hubs, ``a, b``, that have enough prefix tokens in common.
+def named_hubs(shared: DataFrame, share: int = SHARE) -> DataFrame:
+    """Stored ``class, n, held, hub, hub_n, hub_held, named``: the hubs that a class's tokens name, and how many do; itself included.
 
     A token's hub is the class whose prefix is shared to the greatest part: among edited copies the one nearest their origin.
     """
     prefix = F.col("n") - _ceil(share * F.col("n"), 100) + 1
     me = F.struct(F.floor(1000 * F.col("held") / prefix).alias("part"), F.bitwise_not("class").alias("turned"), "n", "held")
     hubs = shared.groupBy("token").agg(F.max(me).alias("hub"))
-    pairs = shared.join(hubs, "token").select(
+    rows = shared.join(hubs, "token").select(
         "class", "n", "held", F.bitwise_not("hub.turned").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.held").alias("hub_held"))
+    return durable(rows.groupBy(*rows.columns).agg(F.count("*").alias("named")))
+
+
+def hub_pairs(shared: DataFrame, hubs: DataFrame, share: int = SHARE) -> DataFrame:
+    """Classes and their hubs, ``a, b``, that have enough prefix tokens in common."""
     least = needed(F.col("n"), F.col("hub_n"), share)
-    pairs = pairs.where((F.col("class") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n"), share) & (F.least("held", "hub_held") >= least)).distinct()
+    pairs = hubs.where((F.col("class") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n"), share) & (F.least("held", "hub_held") >= least))
     mine = shared.select("class", "token")
     theirs = shared.select(F.col("class").alias("hub"), "token")
     met = pairs.select("class", "hub", least.alias("least")).join(mine, "class").join(theirs, ["hub", "token"]).groupBy("class", "hub", "least").agg(F.count("*").alias("met"))
     return met.where("met >= least").select(F.col("class").alias("a"), F.col("hub").alias("b"))
 
 
-def opened_pairs(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
-    """Queries and the members of the groups that they open, ``a, b``, among classes of different components.
+def families(hubs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Stored ``class, comp, family`` of every class with shared tokens: its component, and the group whose tokens the matrix holds together."""
+    best = hubs.groupBy("class").agg(F.max(F.struct("named", "hub")).getField("hub").alias("hub"))
+    own = groups.select(F.col("node").alias("class"), "comp")
+    theirs = groups.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    rows = best.join(own, "class", "left").join(theirs, "hub", "left")
+    return durable(rows.select("class", F.coalesce("comp", "class").alias("comp"), F.coalesce("comp", "hub_comp", "hub").alias("family")))
 
-    A query is sent only to the size bands that it holds enough shared tokens for, and to none above its own: of two sets
-    the larger one asks.
+
+def band_needs(low: Column, high: Column, share: int = SHARE) -> Column:
+    """The least of ``needed`` of a set of size ``n`` over partners of sizes low to high, which is at an end; one less for rounding. Null: none fits."""
+    n = F.col("n")
+    low = F.greatest(low, F.floor(share * n / 100))
+    high = F.least(high, F.ceil(100 * n / share))
+    return F.when(low <= high, F.greatest(F.lit(1), F.least(needed(n, low, share), needed(n, high, share)) - 1))
+
+
+def _enough(met: DataFrame, share: int) -> DataFrame:
+    """The rows of ``met`` whose class holds, towards the row's band ``to``, as many tokens as a partner there needs."""
+    first, last = (F.floor(F.pow(F.lit(_BAND), F.col("to") + i)) for i in (0, 1))
+    counts = met.groupBy("class", "n", "to").agg(F.count("*").alias("met")).where(F.col("met") >= band_needs(first, last + 1, share))
+    return durable(met.join(counts.select("class", "to"), ["class", "to"]).select("token", "class", "n", "comp", "family", "band", "to"))
+
+
+def in_play(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
+    """Stored ``token, class, n, comp, family, band, to``: tokens by which a class may link with another component's class of size band ``to``.
+
+    A token counts towards a band only if another component holds it there, and in a second count only if that class is
+    itself in play towards this one's band.
     """
-    base = F.log(F.lit(_BAND))
-    band = F.floor(F.log("n") / base).cast("int")
-    rows = shared.join(groups.withColumnRenamed("node", "class"), "class", "left")
-    rows = rows.select("token", "class", "n", "held", F.coalesce("comp", "class").alias("comp"), band.alias("band"))
+    rows = shared.join(groups, "class").select("token", "class", "n", "comp", "family", _band(F.col("n")).alias("band"))
     spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    rows = durable(rows.drop("held").join(spread, "token"))
-    each = rows.groupBy("class").agg(F.count("*").alias("held"), F.max("n").alias("n"), F.max("band").alias("band"))  # only tokens that other components hold
-    rows = durable(rows.join(each.select("class", "held"), "class"))
-    matrix = rows.groupBy("token", "comp", "band").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sizes = rows.groupBy("comp", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-
-    def band_needs(low: Column, high: Column) -> Column:
-        """The least of ``needed`` over partners of sizes low to high, which is at an end; one less for rounding."""
-        low = F.greatest(low, F.floor(share * F.col("n") / 100))
-        high = F.least(high, F.ceil(100 * F.col("n") / share))
-        return F.when(low <= high, F.greatest(F.lit(1), F.least(needed(F.col("n"), low, share), needed(F.col("n"), high, share)) - 1))
-
-    reach = int(np.ceil(np.log(100 / share) / np.log(_BAND)))
-    bands = F.transform(F.sequence(F.col("band") - reach, F.col("band")), lambda b: F.struct(
-        b.alias("band"), band_needs(F.floor(F.pow(F.lit(_BAND), b)), F.ceil(F.pow(F.lit(_BAND), b + 1))).alias("least")))
-    sent = each.select("class", F.explode(F.filter(bands, lambda b: F.col("held") >= b["least"])).alias("to")).select("class", F.col("to.band").alias("band"))
-    queries = rows.select("token", "class", "n", F.col("comp").alias("own")).join(sent, "class")
+    rows = durable(rows.join(spread, "token"))
+    cells = rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    near = Window.partitionBy("token").orderBy("band").rangeBetween(-_reach(share), _reach(share))  # a token has a row per band
+    cells = cells.select("token", "band", F.collect_list(F.struct(F.col("band").alias("to"), "low", "high")).over(near).alias("near"))
+    other = F.filter("near", lambda x: (x["low"] != F.col("comp")) | (x["high"] != F.col("comp")))
+    met = rows.join(cells, ["token", "band"]).select("token", "class", "n", "comp", "family", "band", F.explode(F.transform(other, lambda x: x["to"])).alias("to"))
+    left = _enough(met, share)
+    facing = left.groupBy("token", F.col("to").alias("band"), F.col("band").alias("to")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return _enough(left.join(facing, ["token", "band", "to"]).where("low != comp or high != comp"), share)
+
+
+def opened_groups(left: DataFrame, share: int = SHARE) -> DataFrame:
+    """Stored ``class, n, comp, family, band``: queries and the groups, by family and band, that they open.
+
+    Of two sets the larger one asks, so a query is sent to no band above its own.
+    """
+    cell = ["token", "family", F.col("band").alias("to"), F.col("to").alias("band")]
+    matrix = left.where("to >= band").groupBy(*cell).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = left.groupBy("family", F.col("band").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    queries = left.where("to <= band").select("token", "class", "n", "comp", "band", "to")
     fits = (100 * F.col("high") >= share * F.col("n")) & (100 * F.col("n") >= share * F.col("low"))
-    hits = queries.join(matrix, ["token", "band"]).where((F.col("own") != F.col("comp")) & fits)
-    hits = hits.groupBy("class", "n", "comp", "band").agg(F.count("*").alias("met")).join(sizes, ["comp", "band"])
-    opened = hits.where(F.col("met") >= band_needs(F.col("least"), F.col("most"))).select("class", "comp", "band")
-    asked = durable(opened.join(rows.select("class", "token", "n", "held"), "class"))
-    members = rows.select("token", "comp", "band", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("held").alias("other_held"))
-    least = needed(F.col("n"), F.col("other_n"), share)
-    met = asked.join(members, ["token", "comp", "band"]).where(_size_fits(F.col("n"), F.col("other_n"), share) & (F.least("held", "other_held") >= least))
-    met = met.select("class", "other", least.alias("least")).groupBy("class", "other", "least").agg(F.count("*").alias("met")).where("met >= least")
-    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-
-
-def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
+    hits = queries.join(matrix, ["token", "band", "to"]).where(((F.col("comp") != F.col("x")) | (F.col("comp") != F.col("y"))) & fits)
+    hits = hits.groupBy("class", "n", "comp", "family", "to").agg(F.count("*").alias("met")).join(sizes, ["family", "to"])
+    enough = hits.where(F.col("met") >= band_needs(F.col("least"), F.col("most"), share))
+    return durable(enough.select("class", "n", "comp", "family", F.col("to").alias("band")))
+
+
+def verify_opened(opened: DataFrame, left: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SHARE, block: int = BLOCK_TOKENS) -> DataFrame:
+    """Stored ``a, b``: links between queries and members of the groups they open, enough to join what links, compared on whole sets."""
+    group = ["family", "band"]
+    members = durable(left.where("to >= band").select("class", "n", "comp", *group).distinct().join(opened.select(*group).distinct(), group, "left_semi"))
+    asking = opened.groupBy(*group).agg(F.ceil(F.sum("n") / block).cast("int").alias("asking"))
+    blocks = asking.join(members.groupBy(*group).agg(F.ceil(F.sum("n") / block).cast("int").alias("asked")), group)
+    sets = whole_sets(opened.select(F.col("class").alias("key")).union(members.select("class")).distinct(), docs, stored)
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """A row once for every block of the other side."""
+        place = F.pmod(F.xxhash64("class"), F.col(own)).cast("int")
+        rows = rows.join(blocks, group).select("class", "comp", *group, place.alias(f"{own}_block"), F.explode(F.sequence(F.lit(1), other)).alias(f"{other}_block"), F.lit(own == "asking").alias("asks"))
+        return rows.withColumn(f"{other}_block", F.col(f"{other}_block") - 1)
+
+    rows = dealt(opened, "asking", "asked").unionByName(dealt(members, "asked", "asking"))
+    rows = rows.join(sets.withColumnRenamed("key", "class"), "class")
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks, keys = table.column("asks").to_numpy(), table.column("class").to_numpy()
+        found = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+        label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        asked = np.flatnonzero(~asks)
+        sizes = np.array([len(found[i]) for i in asked], np.int64)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *[found[i] for i in asked]])
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], np.repeat(np.arange(len(asked)), sizes)[order]
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            if (label[asked] == label[i]).all():
+                continue
+            first = np.searchsorted(tokens, found[i], "left")
+            count = np.searchsorted(tokens, found[i], "right") - first
+            at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+            common = np.bincount(owner[at], minlength=len(asked))
+            link = asked[(100 * common >= share * (sizes + len(found[i]) - common)) & (label[asked] != label[i])]
+            names, one = np.unique(label[link], return_index=True)
+            a += [keys[i]] * len(one)
+            b += keys[link[one]].tolist()
+            label[np.isin(label, names)] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return durable(rows.groupBy(*group, "asking_block", "asked_block").applyInArrow(meet, "a long, b long"))
+
+
+def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """The stored classes, and ``node, comp`` of every class that has a link."""
     stored = classes(docs, cell_bits)
-    shared = shared_tokens(prefixes(docs, crowding(stored, cell_bits), share))
-    near = verify(hub_pairs(shared, share), docs, stored, share)
-    groups = components(near)
-    far = verify(opened_pairs(shared, groups, share), docs, stored, share)
+    shared = shared_tokens(prefixes(docs, crowding(stored, cell_bits), share), share)
+    hubs = named_hubs(shared, share)
+    near = verify(hub_pairs(shared, hubs, share), docs, stored, share)
+    left = in_play(shared, families(hubs, components(near)), share)
+    far = verify_opened(opened_groups(left, share), left, docs, stored, share, block)
     return stored, components(near.unionByName(far))
 
 
-def join_groups(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS) -> DataFrame:
+def join_groups(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, block: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    stored, comps = linked(docs, share, cell_bits)
+    stored, comps = linked(docs, share, cell_bits, block)
     rows = stored.where("part is null").select("doc_id", "n", "key")
     keyed = rows.where("n > 0").join(comps, F.col("key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("comp", "key").alias("comp"))
     names = keyed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -61,6 +61,19 @@ def test_tight_family_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("block", [400, 10**6])
+def test_loose_family_in_blocks(spark, block):
+    """Copies at the edge of linking: most fail against their hub, and links run between any two of them."""
+    base, other = prose(21, 120), prose(22, 120)
+    rows = [(i, edited(base, 40 + i, [25, 30, 40][i % 3])) for i in range(90)]
+    rows += [(200 + i, edited(other, i, 35) + " " + prose(300 + i, i % 30)) for i in range(60)]
+    rows += [(400 + i, edited(" ".join(base.split()[:60] + other.split()[:60]), i, 45)) for i in range(30)]
+    got = group_matrix.join_groups(table(spark, rows).repartition(4), cell_bits=10, block=block).collect()
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 10
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_needed_is_a_lower_bound_of_common_prefix_tokens(spark):
     draw = random.Random(3)
     cases = []
