@@ -9,7 +9,7 @@ intersection / union is at least ``SHARE / 100``.
 * Groups of similar documents: every shared token names a hub, its most shared class. Classes that verify against a hub form a
   component with it; any other class joins the group of the hub that most of its tokens name. Groups are split by size bands.
 * Bounds by band: a class's tokens that another component holds in a size band are counted, and the class stays in play
-  towards a band only where the count reaches the least ``needed`` there. A second count sees only what is in play.
+  towards a band only where the count reaches the least ``needed`` there.
 * Matrix: one row per (token, group) over the tokens of the group's members, however many they are. The count of a query's
   tokens in a group's row bounds what it can share with any member, so only groups that reach the least ``needed`` of their
   band are opened, and only if they hold another component than the query's.
@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlab.llm import words
 from cohortlab.llm.graph import components, id_filter, may_hold
-from cohortlab.session import durable
+from cohortlab.session import durable, release
 
 SIZE = 5
 SHARE = 80
@@ -158,7 +158,10 @@ def shared_tokens(postings: DataFrame, share: int = SHARE) -> DataFrame:
     near = Window.partitionBy("token").orderBy("band").rangeBetween(-_reach(share), _reach(share))
     cells = cells.select("token", "band", F.min("low").over(near).alias("low"), F.max("high").over(near).alias("high")).where("low != high")
     rows = durable(cold.unionByName(crowded.join(cells, ["token", "band"]).select("token", "class", "n").distinct()))
-    return durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))
+    shared = durable(rows.join(rows.groupBy("class").agg(F.count("*").alias("held")), "class"))
+    release(crowded)
+    release(rows)
+    return shared
 
 
 def _ceil(a: Column, over: int) -> Column:
@@ -192,7 +195,9 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, stored: DataFrame) -> DataFra
 
     sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, key long, tokens binary")
     sets = sets.join(reps.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    return durable(sets.select("key", "tokens").dropDuplicates(["key"]))
+    sets = durable(sets.select("key", "tokens").dropDuplicates(["key"]))
+    release(reps)
+    return sets
 
 
 def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SHARE) -> DataFrame:
@@ -213,7 +218,10 @@ def verify(pairs: DataFrame, docs: DataFrame, stored: DataFrame, share: int = SH
                 keep.append(100 * common >= share * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"))
+    links = durable(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"))
+    release(pairs)
+    release(sets)
+    return links
 
 
 def named_hubs(shared: DataFrame, share: int = SHARE) -> DataFrame:
@@ -256,30 +264,26 @@ def band_needs(low: Column, high: Column, share: int = SHARE) -> Column:
     return F.when(low <= high, F.greatest(F.lit(1), F.least(needed(n, low, share), needed(n, high, share)) - 1))
 
 
-def _enough(met: DataFrame, share: int) -> DataFrame:
-    """The rows of ``met`` whose class holds, towards the row's band ``to``, as many tokens as a partner there needs."""
-    first, last = (F.floor(F.pow(F.lit(_BAND), F.col("to") + i)) for i in (0, 1))
-    counts = met.groupBy("class", "n", "to").agg(F.count("*").alias("met")).where(F.col("met") >= band_needs(first, last + 1, share))
-    return durable(met.join(counts.select("class", "to"), ["class", "to"]).select("token", "class", "n", "comp", "family", "band", "to"))
-
-
 def in_play(shared: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
     """Stored ``token, class, n, comp, family, band, to``: tokens by which a class may link with another component's class of size band ``to``.
 
-    A token counts towards a band only if another component holds it there, and in a second count only if that class is
-    itself in play towards this one's band.
+    A token counts towards a band if another component holds it there; a class stays in play towards a band only with as many
+    such tokens as a partner there needs.
     """
-    rows = shared.join(groups, "class").select("token", "class", "n", "comp", "family", _band(F.col("n")).alias("band"))
-    spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    rows = durable(rows.join(spread, "token"))
+    rows = durable(shared.join(groups, "class").select("token", "class", "n", "comp", "family", _band(F.col("n")).alias("band")))
     cells = rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     near = Window.partitionBy("token").orderBy("band").rangeBetween(-_reach(share), _reach(share))  # a token has a row per band
-    cells = cells.select("token", "band", F.collect_list(F.struct(F.col("band").alias("to"), "low", "high")).over(near).alias("near"))
+    cells = cells.select("token", "band", F.min("low").over(near).alias("x"), F.max("high").over(near).alias("y"), F.collect_list(F.struct(F.col("band").alias("to"), "low", "high")).over(near).alias("near"))
+    cells = cells.where("x != y").select("token", "band", "near")
     other = F.filter("near", lambda x: (x["low"] != F.col("comp")) | (x["high"] != F.col("comp")))
     met = rows.join(cells, ["token", "band"]).select("token", "class", "n", "comp", "family", "band", F.explode(F.transform(other, lambda x: x["to"])).alias("to"))
-    left = _enough(met, share)
-    facing = left.groupBy("token", F.col("to").alias("band"), F.col("band").alias("to")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return _enough(left.join(facing, ["token", "band", "to"]).where("low != comp or high != comp"), share)
+    met = durable(met)
+    first, last = (F.floor(F.pow(F.lit(_BAND), F.col("to") + i)) for i in (0, 1))
+    enough = met.groupBy("class", "n", "to").agg(F.count("*").alias("met")).where(F.col("met") >= band_needs(first, last + 1, share)).select("class", "to")
+    left = durable(met.join(enough, ["class", "to"]).select("token", "class", "n", "comp", "family", "band", "to"))
+    release(rows)
+    release(met)
+    return left
 
 
 def opened_groups(left: DataFrame, share: int = SHARE) -> DataFrame:
@@ -340,7 +344,10 @@ def verify_opened(opened: DataFrame, left: DataFrame, docs: DataFrame, stored: D
             label[np.isin(label, names)] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return durable(rows.groupBy(*group, "asking_block", "asked_block").applyInArrow(meet, "a long, b long"))
+    links = durable(rows.groupBy(*group, "asking_block", "asked_block").applyInArrow(meet, "a long, b long"))
+    release(members)
+    release(sets)
+    return links
 
 
 def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -349,8 +356,15 @@ def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, bloc
     shared = shared_tokens(prefixes(docs, crowding(stored, cell_bits), share), share)
     hubs = named_hubs(shared, share)
     near = verify(hub_pairs(shared, hubs, share), docs, stored, share)
-    left = in_play(shared, families(hubs, components(near)), share)
-    far = verify_opened(opened_groups(left, share), left, docs, stored, share, block)
+    groups = families(hubs, components(near))
+    release(hubs)
+    left = in_play(shared, groups, share)
+    release(shared)
+    release(groups)
+    opened = opened_groups(left, share)
+    far = verify_opened(opened, left, docs, stored, share, block)
+    release(left)
+    release(opened)
     return stored, components(near.unionByName(far))
 
 
