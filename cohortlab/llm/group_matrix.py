@@ -21,7 +21,8 @@ joined changes nothing and is not looked for. Sets are compared as 64-bit hashes
 
 Cases: texts without words have no set, and link with nothing; fewer than five words are one shingle; repeated rows
 share a class; a null doc_id is no component's name unless all its rows have none; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. A very long text is hashed in slices, and its set is held whole by one task. Of classes whose
+prefixes are shared to equal parts the one with the least key is the hub; ties don't change the result.
 """
 
 from __future__ import annotations
