@@ -92,20 +92,23 @@ def tally(df: DataFrame, columns: list[str], by: list[str], probes: DataFrame) -
     ``probes`` has (by..., column, probes array of low and high). ``value`` and ``top`` are the least and greatest value of a row; the
     rows of a group lie in order and don't overlap. One scan, one aggregate with map-side combine.
     """
-    wide = probes.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("probes"))).alias(f"_p{i}") for i, c in enumerate(columns)])
+    size = len(probes.select("probes").first()["probes"])
+    ends = [(f"low{j}", f"high{j}") for j in range(size)]
+    flat = F.struct(*[F.col("probes")[j][end].alias(f"{end}{j}") for j in range(size) for end in ("low", "high")])
+    wide = probes.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, flat)).alias(f"_p{i}") for i, c in enumerate(columns)])
     wide = broadcast_if_small(wide.select(*[F.col(f"`{k}`").alias(f"_by{i}") for i, k in enumerate(by)], *[f"_p{i}" for i in range(len(columns))]))
     rows = _keyed(df, by).select(*[F.col(f"`{k}`") for k in by], *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
     same = [F.col(f"`{k}`") == F.col(f"_by{i}") for i, k in enumerate(by)]
     joined = rows.join(wide, same) if by else rows.crossJoin(F.broadcast(wide))
-    size = len(probes.select("probes").first()["probes"])
-    cells = []
-    for i, c in enumerate(columns):
-        v = F.col(f"_v{i}")
-        ends = [(F.col(f"_p{i}")[j]["low"], F.col(f"_p{i}")[j]["high"]) for j in range(size)]
-        place = sum(((v >= low).cast("int") + (v > high).cast("int") for low, high in ends), F.lit(0))
-        inside = reduce(lambda a, b: a | b, [(v >= low) & (v <= high) for low, high in ends])
-        cells.append(F.struct(F.lit(c).alias("column"), place.alias("_place"), inside.alias("inside"), v.alias("_v"), F.when(inside, v).alias("_kept")))
+    # A cell takes its probes along, so they are compared once after the cells are laid out: comparing them column by column makes
+    # one method of all columns, too long for the JVM to compile.
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("_v"), F.col(f"_p{i}").alias("_p")) for i, c in enumerate(columns)]
     tall = joined.select(*[F.col(f"`{k}`") for k in by], F.inline(F.array(*cells))).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    v, p = F.col("_v"), F.col("_p")
+    place = sum(((v >= p[low]).cast("int") + (v > p[high]).cast("int") for low, high in ends), F.lit(0))
+    inside = reduce(lambda a, b: a | b, [(v >= p[low]) & (v <= p[high]) for low, high in ends])
+    tall = tall.select(*[F.col(f"`{k}`") for k in by], "column", "_v", place.alias("_place"), inside.alias("inside"))
+    tall = tall.withColumn("_kept", F.when(F.col("inside"), F.col("_v")))
     counted = tall.groupBy(*by, "column", "_place", "inside", "_kept").agg(F.min("_v").alias("value"), F.max("_v").alias("top"), F.count("*").alias("n"))
     return counted.drop("_place", "_kept")
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from cohortlab.operators.correlation import correlation_matrix, label_correlatio
 from cohortlab.operators.correlation import _by_blocks
 from cohortlab.operators.distribution import feature_error_by_class, histogram, kernel_density, percentile
 from cohortlab.operators import quantiles
-from cohortlab.operators.quantiles import box_statistics, exact_quantiles
+from cohortlab.operators.quantiles import box_statistics, exact_quantiles, tally
 from cohortlab.operators.reshape import duplicate_count, metrics_long
 from cohortlab.operators.split import assign_folds, fixed_sample, sample_keeping, split_rows
 
@@ -244,3 +245,20 @@ def test_small_reshapes(spark):
     errors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])], "y int, e array<double>")
     found = {(r.y, r.feature): r.mean_error for r in feature_error_by_class(errors, "e", ["f", "g"], "y").collect()}
     assert found == {(0, "f"): 2.0, (0, "g"): 3.0, (1, "f"): 5.0, (1, "g"): 6.0}
+
+
+def test_tally_compiles_to_methods_the_jvm_optimises(spark, capsys):
+    columns = [f"c{i}" for i in range(4)]
+    df = spark.range(2000).select((F.col("id") % 2).alias("y"), *[(F.col("id") * (i + 1) % 997).cast("double").alias(c) for i, c in enumerate(columns)])
+    infinite = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    near = F.struct(F.lit(10.0).alias("low"), F.lit(20.0).alias("high"))
+    probes = spark.createDataFrame([(y, c) for y in (0, 1) for c in columns], "y long, column string").withColumn("probes", F.array(near, infinite, near, near, near))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tallied = tally(df, columns, ["y"], probes)
+        tallied.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer methods
+    assert tallied.agg(F.sum("n")).first()[0] == 2000 * len(columns)
