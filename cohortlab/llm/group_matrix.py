@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlab.llm import words
 from cohortlab.llm.graph import components, id_filter, may_hold
-from cohortlab.session import durable, release
+from cohortlab.session import bound_batches, durable, release
 
 SIZE = 5
 SHARE = 80
@@ -353,6 +353,7 @@ def verify_opened(opened: DataFrame, left: DataFrame, docs: DataFrame, stored: D
 
 def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """The stored classes, and ``node, comp`` of every class that has a link."""
+    bound_batches(docs.sparkSession)
     stored = classes(docs, cell_bits)
     shared = shared_tokens(prefixes(docs, crowding(stored, cell_bits), share), share)
     hubs = named_hubs(shared, share)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import text_stats
 from cohortlab.llm.frames import map_rows
+from cohortlab.session import bound_batches
 
 MAX_LABELLED = 20_000
 PAIRS = 60_000
@@ -132,4 +133,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score reaches the cut, with all their columns."""
+    bound_batches(docs.sparkSession)
     return docs.where(score_column(learn(docs, labels)) >= CUT)
