@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,3 +46,15 @@ def test_ids_equal_the_tokenizer_and_survive_a_full_cache():
             assert got.ids[got.first[i] : got.first[i + 1]].tolist() == [*want, 0]
         assert e.lengths(texts).tolist() == (np.diff(got.first) - 1).tolist()
     assert e.encode(pa.array([], pa.string()), 0).ids.size == 0
+
+
+def test_memory_of_short_texts_follows_the_slice():
+    texts = pa.array([prose(i, 500) for i in range(800)])
+    tracemalloc.start()
+    try:
+        for _, part in words.chunks(texts):
+            words.long_windows(words.split(part, lower=True).hashes, 41)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 10_000_000
