@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from cohortlab.llm import words
 
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 _JOIN = 512
 _MARK = "\x01"
 _CACHES: dict[str, Encoder] = {}

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from llm_support import ODD, prose, table
 
 from cohortlab.llm import packing, tokens
@@ -66,3 +67,16 @@ def test_shards_keep_sequences_apart_and_empty_table(spark):
     got = packing.best_fit(pieces, shard_pieces=20).collect()
     assert len(got) == 80 and len({(r.sequence_id, r.offset) for r in got}) == 80
     assert packing.pack_documents(table(spark, [])).count() == 0
+
+
+def test_a_worker_holds_a_small_table_of_pieces():
+    """Workers outlive their stage, so the table stays in memory while other stages run."""
+    held = tokens.Encoder(tokens.default_path())
+    assert held.keys.nbytes + held.place.nbytes + held.count.nbytes <= 20_000_000
+
+
+def test_an_emptied_table_changes_no_ids():
+    texts = pa.array([prose(i, 300) for i in range(40)])
+    whole, small = tokens.Encoder(tokens.default_path()), tokens.Encoder(tokens.default_path(), 400)
+    for i in range(0, 40, 4):
+        assert whole.encode(texts.slice(i, 4)).ids.tolist() == small.encode(texts.slice(i, 4)).ids.tolist()
