@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlab.llm import words
 from cohortlab.llm.graph import components, id_filter, may_hold
-from cohortlab.session import bound_batches, durable, release
+from cohortlab.session import bound_batches, collect_garbage, durable, release
 
 SIZE = 5
 SHARE = 80
@@ -198,6 +198,7 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, stored: DataFrame) -> DataFra
     sets = sets.join(reps.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = durable(sets.select("key", "tokens").dropDuplicates(["key"]))
     release(reps)
+    collect_garbage(docs.sparkSession)
     return sets
 
 
@@ -353,20 +354,26 @@ def verify_opened(opened: DataFrame, left: DataFrame, docs: DataFrame, stored: D
 
 def linked(docs: DataFrame, share: int = SHARE, cell_bits: int = CELL_BITS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """The stored classes, and ``node, comp`` of every class that has a link."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     stored = classes(docs, cell_bits)
     shared = shared_tokens(prefixes(docs, crowding(stored, cell_bits), share), share)
+    collect_garbage(spark)
     hubs = named_hubs(shared, share)
     near = verify(hub_pairs(shared, hubs, share), docs, stored, share)
+    collect_garbage(spark)
     groups = families(hubs, components(near))
     release(hubs)
     left = in_play(shared, groups, share)
     release(shared)
     release(groups)
+    collect_garbage(spark)
     opened = opened_groups(left, share)
+    collect_garbage(spark)
     far = verify_opened(opened, left, docs, stored, share, block)
     release(left)
     release(opened)
+    collect_garbage(spark)
     return stored, components(near.unionByName(far))
 
 

@@ -117,3 +117,40 @@ def test_id_filter_has_no_false_negatives(spark):
     ids = [0, 1, 5, -7, 2**40 + 3, 2**62]
     bits = graph.id_filter(spark.createDataFrame([(i,) for i in [*ids, None]], "x long"), "x", 12)
     assert graph.may_hold(bits, np.array(ids)).all() and not graph.may_hold(bits, np.array([2, 6, 1000])).any()
+
+
+def test_id_filter_of_many_bitmaps(spark):
+    import numpy as np
+
+    ids = [0, 1, 32_767, 32_768, 65_535, 2**17 - 1, -1, 2**40 + 40_000]
+    bits = graph.id_filter(spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "x long"), "x", 17)
+    assert len(bits) == 2**14 and np.flatnonzero(np.unpackbits(bits)).tolist() == sorted({i % 2**17 for i in ids})
+    assert graph.may_hold(bits, np.array(ids)).all() and not graph.may_hold(graph.id_filter(spark.createDataFrame([], "x long"), "x"), np.arange(100)).any()
+
+
+def _jobs(spark, work):
+    """The jobs and stages that ``work`` runs."""
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        work()
+        jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    return len(jobs)
+
+
+def test_steps_run_few_jobs(spark):
+    """The driver keeps something of every job, stage and task."""
+    links = spark.createDataFrame([(1, i) for i in range(2, 30)], "a long, b long")
+    assert _jobs(spark, lambda: graph.components(links).count()) <= 20
+    assert _jobs(spark, lambda: graph.id_filter(links, "b")) <= 4
+
+
+def test_steps_let_the_driver_collect(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    group_matrix.linked(table(spark, [(1, prose(1, 60)), (2, prose(2, 60)), (3, prose(1, 60) + " z")]), cell_bits=10)
+    assert full() - before >= 5
