@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortlab.models.autoencoder import (
     PlainObjective, VariationalObjective, fit_autoencoder, fit_variational, latent_projection,
 )
+from cohortlab.models import oneclass
 from cohortlab.models.evaluate import (
     cross_validate, cross_validate_linear, regression_metrics, train_and_evaluate, validate_input,
 )
@@ -173,6 +174,33 @@ def test_oneclass(arrays):
     assert auc(model.score(arrays)) > 0.8
 
 
+def test_oneclass_learns_from_every_row(spark):
+    rows = spark.range(0, 12_000, 1, 4).select("id", F.array(F.when(F.col("id") % 2 == 0, F.rand(1)).otherwise(F.rand(2) + 9), F.rand(3)).alias("features"))
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(OneClassObjective):
+        def loss_and_gradient(self, weights, x, epoch):
+            seen.add(len(x))
+            return super().loss_and_gradient(weights, x, epoch)
+
+    held, oneclass.OneClassObjective = oneclass.OneClassObjective, Counting
+    try:
+        model = fit_oneclass(rows, "id", nu=0.1, epochs=2, width=16, shards=2)
+    finally:
+        oneclass.OneClassObjective = held
+    assert seen.value == 2 * 12_000  # every row in both epochs
+    assert model.score(rows).filter("score > 0").count() == pytest.approx(0.1 * 12_000, abs=3)  # the offset is a quantile of all rows
+
+
+def test_cosine_of_turns_is_the_cosine():
+    x = np.random.default_rng(0).uniform(-40, 40, (300, 7))
+    assert np.allclose(oneclass.cosine_of_turns(x / (2 * np.pi)), np.cos(x), rtol=0, atol=1e-12)
+    objective = OneClassObjective(7, 0.3, width=16)
+    want = np.sqrt(2 / 16) * np.cos(x @ objective.directions + objective.phases)
+    assert np.allclose(objective.lift(x), want, rtol=0, atol=1e-12)
+    assert np.allclose(objective.margins(np.arange(16.0), x), want @ np.arange(16.0)) and objective.margins(np.arange(16.0), x[:0]).shape == (0,)
+
+
 def test_whole_anomaly_job(spark, labelled):
     settings = AnomalySettings(epochs=3, batch=64, trees=4, depth=4, rounds=3, folds=2)
     doubled = labelled.unionByName(labelled.withColumn("id", F.col("id") + 1000)).unionByName(
